@@ -17,11 +17,16 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, bounded, cut, documents_only, table, text_key
 
 GRAM, WINDOW, SPAN = 4, 7, 10  # SPAN = GRAM + WINDOW - 1
-WORD, WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between words, upper case not yet folded
+
+
+def split_words(text: Column) -> Column:
+    """Words of a text; by split, since regexp_extract_all copies the whole text for each match."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK, -1), "")
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return split_words(ascii_lower(text))
 
 
 def _upto(last: Column) -> Column:
@@ -89,7 +94,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids for every row of docs; repeated rows repeat their result."""
     found = cut(hits(docs, benchmark)).withColumnsRenamed({"doc_id": "d", "key": "k"})
-    rows = documents_only(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("key"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE), F.lit(0))).cast("long").alias("n_words"))
+    rows = documents_only(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("key"), F.size(split_words(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(bounded(found), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
