@@ -20,16 +20,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", text_key(F.col("text")).alias("key"), "text")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """keyed(docs) and, by (doc_id, key), the column spans of spans (doc_id, key, spans array of SPAN) or an empty array.
+def with_spans(docs: DataFrame, spans: DataFrame, most: int = 1_000_000, inner: bool = False) -> DataFrame:
+    """keyed(docs) and, by (doc_id, key), the column spans of spans (doc_id, key, spans: array of SPAN, or of others if inner).
 
-    With `most` spans or fewer, counted, they are broadcast and texts stay where they are.
+    Rows without spans get an empty array or, if inner, are left out. With `most` spans or fewer, counted, they are
+    broadcast and texts stay where they are.
     """
     found = cut(spans.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans"))
     small = found.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0] <= most
     rows = keyed(docs)
-    met = rows.join(F.broadcast(found) if small else found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["key"] == found["_k"]), "left")
-    return met.select("doc_id", "key", "text", F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"))
+    met = rows.join(F.broadcast(found) if small else found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["key"] == found["_k"]), "inner" if inner else "left")
+    return met.select("doc_id", "key", "text", "spans" if inner else F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"))
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
