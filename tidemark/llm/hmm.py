@@ -13,27 +13,35 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 from .spans import keyed
 
 STATES, ROUNDS, OWN, CLASSES, NEAR = 8, 3, 32_768, 256, 200_000
-FLUSH, LANES, BACKING, STAY = 400_000, 300_000, 500.0, 0.95
+FLUSH, LANES, HELD, BACKING, STAY = 400_000, 800_000, 3_000_000, 5_000.0, 0.95
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts of column in one array, A-Z in lower case, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(full, min_count=0).as_py():  # blanks at the ends of a text leave empty words
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes), full.to_numpy(zero_copy_only=False), len(sizes)).astype(np.int64)
+        flat = flat.filter(full)
+    return flat, sizes
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word.decode()[-3:].encode()) % CLASSES
+def ending(word: str) -> int:
+    return zlib.crc32(word[-3:].encode()) % CLASSES
 
 
 def _in_training(doc_id: Column) -> Column:
@@ -45,18 +53,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word, c over the texts of rows (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        counts: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
             counts.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words(text.as_py()))
-                if len(counts) > FLUSH:
-                    yield out()
+            met = tokens(batch.column(0))[0].value_counts()
+            counts.update(dict(zip(met.field("values").to_pylist(), met.field("counts").to_pylist(), strict=True)))
+            if len(counts) > FLUSH:
+                yield out()
         yield out()
 
     return rows.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -64,89 +72,101 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    near: dict[bytes, int]  # counts of the NEAR most frequent words
-    own: dict[bytes, int]  # symbols of the OWN most frequent
+    """Ids: 0.. for the NEAR words by falling count, then a class each for other words, then the end sign."""
+
+    near: pa.Array
     train_tokens: int
     types: int
-    end_count: int
+    symbol: np.ndarray  # by id
+    base: np.ndarray  # by id: base log10 probability; 0 for classes
+    known: np.ndarray  # by id
+    share: np.ndarray  # by id: log10 of the word's share of its class; 0 for words of their own, for classes and the end
     shares: np.ndarray  # by class: what (c + 0.5) of a word is divided by
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # (symbols, states)
 
-    @property
-    def end(self) -> int:
-        return len(self.own) + CLASSES
-
-    def base(self, count: int) -> float:
-        return np.log10((count + 0.5) / (self.train_tokens + 0.5 * (self.types + 1)))
-
-    def symbols(self) -> "Symbols":
-        return Symbols(self.own)
-
-
-class Symbols(dict):
-    """Symbol of a word; remembers a bounded number of those of classes."""
-
-    def __init__(self, own: dict[bytes, int]) -> None:
-        super().__init__(own)
-        self.most, self.first = len(own) + FLUSH, len(own)
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.first + ending(word)
-        if len(self) < self.most and len(word) < 64:
-            self[word] = found
-        return found
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Ids of all texts of column, each text's closed by the end sign; sizes; far words and the text that each is of."""
+        flat, sizes = tokens(column)
+        found = pc.index_in(flat, value_set=self.near)
+        out = found.fill_null(-1).to_numpy().copy()
+        far = np.flatnonzero(out < 0)
+        words, text = flat.take(pa.array(far)), np.repeat(np.arange(len(sizes)), sizes)
+        memo: dict[str, int] = {}
+        for i, w in zip(far.tolist(), words.to_pylist(), strict=True):
+            k = memo.get(w)
+            if k is None:
+                k = memo[w] = len(self.near) + ending(w)
+            out[i] = k
+        closed = np.full(len(out) + len(sizes), len(self.near) + CLASSES, np.int32)
+        closed[np.arange(len(out)) + text] = out
+        return closed, sizes + 1, words, text[far]
+
+
+def likelihoods(texts: list[np.ndarray], model: Model) -> np.ndarray:
+    """Natural log likelihoods of symbol sequences (none empty), by the scaled forward recursion; all run side by side."""
+    order = np.argsort([-len(x) for x in texts], kind="stable")
+    lengths = np.array([len(texts[i]) for i in order])
+    flat, at = np.concatenate([texts[i] for i in order]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    logs, out = np.zeros(len(lengths)), np.empty(len(lengths))
+    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    a = np.repeat(model.start[None], len(lengths), axis=0)
+    for t, n in enumerate(active.tolist()):
+        a = (a[:n] @ model.move if t else a) * model.emit[flat[at[:n] + t]]
+        s = a.sum(axis=1)
+        logs[:n] += np.log(s)
+        a /= s[:, None]
+    out[order] = logs
+    return out
 
 
-def passes(texts: list[np.ndarray], model: Model, learn: bool) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
-    """Natural log likelihoods of symbol sequences (none empty) and, to learn, expected counts of start, move and emission.
+def expected(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of start, move and emission over symbol sequences (none empty), by scaled forward-backward passes.
 
-    Sequences run side by side, longest first, so that those still under way are always the first ones.
+    Sequences run side by side, longest first, so that those still under way are always the first ones. Forward and
+    backward variables, scaled at each step, are held in single precision.
     """
+    emit, moves, begin = (x.astype(np.float32) for x in (model.emit, model.move, model.start))
     order = np.argsort([-len(x) for x in texts], kind="stable")
     lengths = np.array([len(texts[i]) for i in order])
     flat, at = np.concatenate([texts[i] for i in order]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    steps = lengths[0]
+    steps, k = lengths[0], len(begin)
     active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
     offset = np.concatenate([[0], np.cumsum(active)])
-    total, k = offset[-1], len(model.start)
+    total = offset[-1]
     lane = np.arange(total) - np.repeat(offset[:-1], active)
     seen = flat[at[lane] + np.repeat(np.arange(steps), active)]
-    given = model.emit[seen]
-    alpha, scale = np.empty((total, k)), np.empty(total)
-    a = model.start * given[: active[0]]
+    del lane
+    given = emit[seen]
+    alpha = np.empty((total, k), np.float32)
+    bounds = offset.tolist()
+    a = begin * given[: bounds[1]]
     for t in range(steps):
-        lo, hi = offset[t], offset[t + 1]
+        lo, hi = bounds[t], bounds[t + 1]
         if t:
-            a = (a[: hi - lo] @ model.move) * given[lo:hi]
-        s = a.sum(axis=1)
-        scale[lo:hi] = s
-        a /= s[:, None]
+            a = (a[: hi - lo] @ moves) * given[lo:hi]
+        s = a.sum(axis=1, keepdims=True)
+        a /= s
         alpha[lo:hi] = a
-    back = np.empty(len(lengths))
-    back[order] = np.bincount(lane, np.log(scale), len(lengths))
-    if not learn:
-        return back, None
-    given /= scale[:, None]  # becomes emission times beta, over scale
-    beta = np.ones((active[-1], k))
+        given[lo:hi] /= s  # becomes emission times beta, over scale
+    beta = np.ones((active[-1], k), np.float32)
     for t in range(steps - 1, -1, -1):
-        lo, hi = offset[t], offset[t + 1]
+        lo, hi = bounds[t], bounds[t + 1]
         alpha[lo:hi] *= beta  # becomes gamma
         given[lo:hi] *= beta
         if t:
-            beta = np.ones((active[t - 1], k))
-            beta[: hi - lo] = given[lo:hi] @ model.move.T
-    # gamma = alpha * beta, and beta of a step that goes on is at least positive, so alpha comes back by division
-    onward = slice(offset[1], total)
-    before = np.arange(offset[1], total) - np.repeat(active[:-1], active[1:])
-    after = given[onward] @ model.move.T
-    move = model.move * ((alpha[before] / after).T @ given[onward])
-    emission = np.column_stack([np.bincount(seen, alpha[:, j], len(model.emit)) for j in range(k)])
-    return back, (alpha[: active[0]].sum(axis=0), move, emission)
-
-
-def _groups(texts: Iterable[np.ndarray]) -> Iterator[list[int]]:
+            beta = np.ones((active[t - 1], k), np.float32)
+            beta[: hi - lo] = given[lo:hi] @ moves.T
+    # gamma = alpha * beta, and beta of a step that goes on is positive, so alpha comes back by division
+    before = np.arange(bounds[1], total) - np.repeat(active[:-1], active[1:])
+    after = given[bounds[1] :] @ moves.T
+    move = model.move * ((alpha[before] / after).T @ given[bounds[1] :])
+    emission = np.column_stack([np.bincount(seen, alpha[:, j], len(emit)) for j in range(k)])
+    return alpha[: bounds[1]].sum(axis=0, dtype=float), move, emission
+
+
+def _groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
     """Indices of texts, by length, in groups of about LANES symbols."""
     sizes = [len(x) for x in texts]
     group, total = [], 0
@@ -160,8 +180,19 @@ def _groups(texts: Iterable[np.ndarray]) -> Iterator[list[int]]:
         yield group
 
 
-def _sequence(tokens: list[bytes], symbols: Symbols, end: int) -> np.ndarray:
-    return np.fromiter((*map(symbols.__getitem__, tokens), end), np.int32, len(tokens) + 1)
+def _held(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[list[np.ndarray]]:
+    """Symbol sequences of the texts of batches, at least HELD symbols at a time, so that many long ones run side by side."""
+    texts: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        flat, sizes, _, _ = model.ids(batch.column(0))
+        texts += np.split(model.symbol[flat], np.cumsum(sizes)[:-1])
+        size += len(flat)
+        if size > HELD:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
 
 
 def expectation(rows: DataFrame, model: Model) -> DataFrame:
@@ -170,36 +201,54 @@ def expectation(rows: DataFrame, model: Model) -> DataFrame:
     names = [f"e{j}" for j in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, sums = model.symbols(), [np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                texts = [_sequence(words(x.as_py()), symbols, model.end) for x in batch.column(0).slice(lo, 2000)]
-                for group in _groups(texts):
-                    for whole, part in zip(sums, passes([texts[i] for i in group], model, True)[1], strict=True):
-                        whole += part
+        sums = [np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)]
+        for texts in _held(batches, model):
+            for group in _groups(texts):
+                for whole, part in zip(sums, expected([texts[i] for i in group], model), strict=True):
+                    whole += part
         used = np.flatnonzero(sums[2].sum(axis=1))
-        ids = np.concatenate([[-1], -2 - np.arange(k), used])
-        rows = np.vstack([sums[0][None], sums[1], sums[2][used]])
-        for lo in range(0, len(ids), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 10_000], pa.int32()), *[pa.array(rows[lo : lo + 10_000, j]) for j in range(k)]], ["symbol", *names])
+        names_of = np.concatenate([[-1], -2 - np.arange(k), used])
+        found = np.vstack([sums[0][None], sums[1], sums[2][used]])
+        for lo in range(0, len(names_of), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(names_of[lo : lo + 10_000], pa.int32()), *[pa.array(found[lo : lo + 10_000, j]) for j in range(k)]], ["symbol", *names])
 
     kind = "symbol int, " + ", ".join(f"{n} double" for n in names)
     return rows.select("text").mapInArrow(run, kind).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def fit(rows: DataFrame, counts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Train on all texts of rows (text); counts: word_counts(rows), cut."""
+    """Train on all texts of rows (text); counts: word_counts(rows), cut.
+
+    The driver gets NEAR words at most: those whose count is above the largest count that would make them more.
+    """
     n, types, documents = *counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first(), rows.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(NEAR).collect()
-    near = {r[0].encode(): r[1] for r in top}
-    own = {w: i for i, w in enumerate(list(near)[:OWN])}
-    names = counts.sparkSession.createDataFrame([(w.decode(),) for w in own], "word string")
+    floor, words_above = 0, 0
+    for c, k in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(NEAR).collect():
+        words_above += k
+        if words_above > NEAR:
+            floor = c
+            break
+    top = sorted((tuple(x) for x in counts.where(F.col("c") > floor).collect()), key=lambda x: (-x[1], x[0]))
+    own = min(OWN, len(top))
+    names = counts.sparkSession.createDataFrame([(w,) for w, _ in top[:own]], "word string")
     rest = counts.join(F.broadcast(names), "word", "left_anti").groupBy((F.crc32(F.right("word", F.lit(3)).cast("binary")) % CLASSES).alias("k")).agg(F.sum("c"), F.count("*")).collect()
     mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, c, v in rest:
         mass[k], kinds[k] = c, v
-    model = Model(near, own, n + documents, types + (documents > 0), documents, mass + 0.5 * (kinds + 1), np.full(states, 1 / states), None, None)
-    share = np.concatenate([np.fromiter((near[w] for w in own), float, len(own)), mass + 0.5, [documents + 0.5]])
+    shares = mass + 0.5 * (kinds + 1)
+    train_tokens, all_types = n + documents, types + (documents > 0)
+    classes = np.array([ending(w) for w, _ in top[own:]], np.int64)
+    c = np.array([c for _, c in top], float)
+    base = np.log10((np.append(c, documents) + 0.5) / (train_tokens + 0.5 * (all_types + 1)))
+    model = Model(
+        pa.array([w for w, _ in top], pa.string()), train_tokens, all_types,
+        symbol=np.concatenate([np.arange(own), own + classes, own + np.arange(CLASSES + 1)]).astype(np.int32),
+        base=np.concatenate([base[:-1], np.zeros(CLASSES), base[-1:]]),
+        known=np.concatenate([np.ones(len(top), np.int64), np.zeros(CLASSES, np.int64), [documents > 0]]),
+        share=np.concatenate([np.zeros(own), np.log10((c[own:] + 0.5) / shares[classes]), np.zeros(CLASSES + 1)]),
+        shares=shares, start=np.full(states, 1 / states), move=None, emit=None,
+    )
+    share = np.concatenate([c[:own], mass + 0.5, [documents + 0.5]])
     share /= share.sum()
     tilt = np.random.default_rng(0).random((len(share), states)) + 0.5  # states must differ at first, or they never do
     model.emit = share[:, None] * tilt
@@ -224,45 +273,29 @@ def _near_pass(rows: DataFrame, model: Model) -> DataFrame:
     """All that a task can tell of rows (doc_id, key, held_out, text): n_tokens, and known, base and score without far words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, end = model.symbols(), model.base(model.end_count)
-        first = symbols.first
-        worth = {w: (model.base(c), 0.0 if w in model.own else np.log10((c + 0.5) / model.shares[ending(w)])) for w, c in model.near.items()}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                texts, sums = [], []
-                for x in part.column(3):
-                    tokens = words(x.as_py())
-                    texts.append(_sequence(tokens, symbols, model.end))
-                    met = [v for v in map(worth.get, tokens) if v is not None]
-                    sums.append((len(tokens) + 1, len(met) + (model.end_count > 0), end + sum(v[0] for v in met), sum(v[1] for v in met)))
-                scores = np.array([s[3] for s in sums])
-                for group in _groups(texts):
-                    scores[group] += passes([texts[i] for i in group], model, False)[0] / np.log(10)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(3)], pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array([float(s[2]) for s in sums]), pa.array(scores)], ["doc_id", "key", "held_out", "n_tokens", "known", "base", "score"])
+            if not batch.num_rows:
+                continue
+            flat, sizes, _, _ = model.ids(batch.column(3))
+            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            known, base, score = (np.add.reduceat(x[flat], at) for x in (model.known, model.base, model.share))
+            score += likelihoods(np.split(model.symbol[flat], at[1:]), model) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "key", "held_out", "n_tokens", "known", "base", "score"])
 
     return rows.select("doc_id", "key", "held_out", "text").mapInArrow(run, "doc_id long, key long, held_out boolean, n_tokens long, known long, base double, score double")
 
 
 def _far_words(rows: DataFrame, model: Model) -> DataFrame:
-    """d, k, word, times, class of the words of each text of rows that aren't among the NEAR most frequent."""
+    """d, k, word, times, class of the words of each text of rows that aren't among the NEAR ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = model.near
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                at, found, times, kinds = [], [], [], []
-                for i, x in enumerate(part.column(2)):
-                    counts = Counter(w for w in words(x.as_py()) if w not in near)
-                    at += [i] * len(counts)
-                    found += counts.keys()
-                    times += counts.values()
-                    kinds += map(ending, counts)
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(found, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(kinds, pa.int32())], ["d", "k", "word", "times", "class"])
-
-    # rows that repeat doc_id and text would count their words twice
+            _, _, found, text = model.ids(batch.column(2))
+            counts = Counter(zip(text.tolist(), found.to_pylist(), strict=True))
+            take = pa.array([i for i, _ in counts], pa.int64())
+            own = [w for _, w in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(own, pa.string()), pa.array(counts.values(), pa.int64()), pa.array(map(ending, own), pa.int32())], ["d", "k", "word", "times", "class"])
+
     return rows.select("doc_id", "key", "text").mapInArrow(run, "d long, k long, word string, times long, class int")
 
 
@@ -277,14 +310,14 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataF
     model = fit(rows.where("not held_out"), counts, states, rounds)
     near, far = _near_pass(rows, model), _far_words(rows, model)
     shares = F.array(*[F.lit(float(x)) for x in model.shares])
-    c = F.coalesce("c", F.lit(0))
     met = far.join(counts.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
+    c = F.coalesce("c", F.lit(0))
     each = met.select("d", "k", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((c + 0.5) / float(model.train_tokens + 0.5 * (model.types + 1)))).alias("base"), (F.col("times") * F.log10((c + 0.5) / F.get(shares, F.col("class")))).alias("score"))
-    # identical rows share one sum here, of as many times as there are rows
     sums = each.groupBy("d", "k").agg(*[F.sum(x).alias(f"far_{x}") for x in ("known", "base", "score")])
-    many = rows.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("d2"), F.col("key").alias("k2"), "rows")
-    out = near.join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").join(many, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("key") == F.col("k2")), "left")
-    share = lambda x: F.coalesce(F.col(f"far_{x}") / F.coalesce("rows", F.lit(1)), F.lit(0))
+    # rows that repeat both doc_id and text share one sum, which is divided among them
+    near = near.withColumn("rows", F.count("*").over(Window.partitionBy("doc_id", "key")))
+    out = near.join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    share = lambda x: F.coalesce(F.col(f"far_{x}") / F.col("rows"), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + share("known")).cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), (F.col("base") + share("base")).alias("base_score"), (F.col("score") + share("score")).alias("score"))
 
 
