@@ -56,6 +56,17 @@ def documents_only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) long, undirected -> (node, component) for every node that has an edge to another; component: its smallest node.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, cut, documents_only, table, text_key
+from .common import ascii_lower, bounded, cut, documents_only, table, text_key, unused
 
 GRAM, WINDOW, SPAN = 4, 7, 10  # SPAN = GRAM + WINDOW - 1
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between words, upper case not yet folded
@@ -52,8 +52,9 @@ def _tokens(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, words(F.col("text")).alias("w")).withColumn("grams", _hashes(F.col("w"), GRAM))
 
 
-def _window_text(w: Column, start: Column, n: int) -> Column:
-    return F.array_join(F.slice(w, start, n), " ")
+def _spots(starts: Column, n: int) -> Column:
+    """Windows of n words of w from each start."""
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("window")))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,10 +81,10 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     again = _tokens(again, "doc_id", "key", "marks")
     size = F.size("w")
     near = F.filter(_upto(size - (SPAN - 1)), lambda i: F.arrays_overlap(F.slice("grams", i, WINDOW), F.col("marks")))
-    spots = [F.transform(near, lambda i: F.struct(i.alias("at"), F.lit(SPAN).alias("n"), _window_text(F.col("w"), i, SPAN).alias("window")))]
+    spots = [_spots(near, SPAN)]
     for n in short:
         start = F.filter(F.transform(_hashes(F.col("w"), n), lambda h, i: F.when(F.array_contains("marks", h), i + 1)), lambda i: i.isNotNull())
-        spots.append(F.transform(start, lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("n"), _window_text(F.col("w"), i, n).alias("window"))))
+        spots.append(_spots(start, n))
     found = again.select("doc_id", "key", F.explode(F.concat(*spots)).alias("s")).select("doc_id", "key", "s.*").join(windows, ["n", "window"])
     found = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(1).alias("upto"))
@@ -101,8 +102,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no window of an item."""
-    found = bounded(cut(hits(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_d")) & (text_key(docs["text"]) == F.col("_k")), "left_anti")
+    d, k = unused(docs, "d", "k")
+    found = bounded(cut(hits(docs, benchmark).select(F.col("doc_id").alias(d), F.col("key").alias(k))))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (text_key(F.col("text")) == F.col(k)), "left_anti")
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

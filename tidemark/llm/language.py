@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, documents_only, table, text_key
+from .common import bounded, cut, documents_only, table, text_key, unused
 
 SAMPLE, BUCKETS, SMOOTH = 2_000, 1 << 15, 0.5
 EVIDENCE, KAPPA, UND_PRIOR, MOST_LANGUAGES = 60.0, 5.0, 1e-6, 64
@@ -196,8 +196,9 @@ def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
 
 def clean(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose language is one of those that labelled (doc_id, text, lang) knows."""
-    found = identify_documents(docs, train(labelled)).where(F.col("lang") == UND).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(bounded(cut(found)), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), "left_anti")
+    d, k = unused(docs, "d", "k")
+    found = identify_documents(docs, train(labelled)).where(F.col("lang") == UND).select(F.col("id").alias(d), F.col("key").alias(k)).distinct()
+    return docs.join(bounded(cut(found)), F.col("doc_id").eqNullSafe(F.col(d)) & (text_key(F.col("text")) == F.col(k)), "left_anti")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

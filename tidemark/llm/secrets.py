@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, documents_only, table
+from .common import bounded, cut, documents_only, table, unused
 
 
 @dataclass(frozen=True)
@@ -107,15 +107,16 @@ def per_document(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
 
 def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs, all columns, each run of found characters replaced by mark; n_chars, if there is one, follows."""
-    found = scan(docs).findings.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("blob", "_blob")
-    out = docs.join(bounded(cut(found)), F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_blob"), "left")
+    spans, blob = unused(docs, "spans", "blob")
+    found = scan(docs).findings.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans)).withColumnRenamed("blob", blob)
+    out = docs.join(bounded(cut(found)), F.sha2(F.coalesce("text", F.lit("")), 256) == F.col(blob), "left")
     start = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("parts"))
     before = lambda a, s: F.concat(F.substring(F.col("text"), a["upto"].cast("int") + 1, (s["start"] - a["upto"]).cast("int")), F.lit(mark))
     step = lambda a, s: F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), F.when(s["start"] >= a["upto"], F.concat(a["parts"], F.array(before(a, s)))).otherwise(a["parts"]).alias("parts"))
-    whole = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["upto"].cast("int") + 1, 2**31 - 1)))
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(whole))
+    whole = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["upto"].cast("int") + 1, 2**31 - 1)))
+    out = out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

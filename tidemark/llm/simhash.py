@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, connected_components, cut, documents_only, table
+from .common import bounded, connected_components, cut, documents_only, table, unused
 
 DISTANCE, SEED, PIECE = 2, 42, 1 << 16
 GOLAY = 0b101011100011  # fixed value: generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -165,8 +165,9 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Rows with a null doc_id stay, and so do all rows of the doc_id that is kept.
     """
-    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(bounded(cut(gone)), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bounded(cut(gone)), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
