@@ -26,7 +26,7 @@ from .common import cut, table
 from .spans import keyed
 
 STATES, ROUNDS, OWN, CLASSES, NEAR = 8, 3, 32_768, 256, 200_000
-FLUSH, LANES, HELD, BACKING, STAY = 400_000, 800_000, 3_000_000, 5_000.0, 0.95
+ROWS, FLUSH, LANES, HELD, BACKING, STAY = 4_000, 400_000, 400_000, 2_000_000, 5_000.0, 0.95
 
 
 def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -184,7 +184,7 @@ def _held(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[list[np.n
     """Symbol sequences of the texts of batches, at least HELD symbols at a time, so that many long ones run side by side."""
     texts: list[np.ndarray] = []
     size = 0
-    for batch in batches:
+    for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
         flat, sizes, _, _ = model.ids(batch.column(0))
         texts += np.split(model.symbol[flat], np.cumsum(sizes)[:-1])
         size += len(flat)
@@ -273,9 +273,7 @@ def _near_pass(rows: DataFrame, model: Model) -> DataFrame:
     """All that a task can tell of rows (doc_id, key, held_out, text): n_tokens, and known, base and score without far words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             flat, sizes, _, _ = model.ids(batch.column(3))
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             known, base, score = (np.add.reduceat(x[flat], at) for x in (model.known, model.base, model.share))
@@ -289,7 +287,7 @@ def _far_words(rows: DataFrame, model: Model) -> DataFrame:
     """d, k, word, times, class of the words of each text of rows that aren't among the NEAR ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             _, _, found, text = model.ids(batch.column(2))
             counts = Counter(zip(text.tolist(), found.to_pylist(), strict=True))
             take = pa.array([i for i, _ in counts], pa.int64())
