@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +28,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), as a compressed table in the shared folder, of which later reads take only the columns they need."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, which must be cheap to count (cut), with a broadcast hint if it has that many rows at most; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df

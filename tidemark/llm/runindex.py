@@ -13,8 +13,8 @@ also starts elsewhere.
    first symbol), so no text is met with itself.
 4. Marks are joined back to all places of a context.
 
-A hash with more than `HOT` bytes of distinct contexts (one passage at the edge of very many texts) would make its bucket
-grow with the data; for those, every window's digest is counted instead, by grouped aggregation: exact as well, and spread.
+A hash with more than `HOT` bytes of contexts (one passage in very many texts) would make its bucket grow with the data; for
+those, every window's digest is counted instead, by grouped aggregation over distinct contexts: exact as well, and spread.
 """
 
 from __future__ import annotations
@@ -28,23 +28,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import GEAR
-from .common import bounded, cut, stored, table
-from .spans import SPAN, keyed, removal, with_spans
+from .common import bounded, cut, table
+from .spans import SPAN, keyed, merged, removal, with_spans
 
 LEAST, GRAM = 400, 64
 WIDTH = LEAST - GRAM + 1  # hashes in a window
-HOT, BUCKET, PIECE = 1 << 20, 3 << 18, 1 << 20
+HOT, BUCKET, INDEX = 1 << 20, 3 << 18, 1 << 16
+PLACE = 20  # bits of a place within a piece of a text
+PIECE = (1 << PLACE) - 2 * LEAST
 GEAR64 = GEAR.astype(np.uint64) << np.uint64(32) | np.array([xxhash.xxh32_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
 
 
 def _window_minima(data: np.ndarray) -> np.ndarray:
-    """For each window: 52 bits of its smallest hash, then 12 bits of the place where it was met."""
+    """For each window: the upper bits of its smallest hash, then PLACE bits: where it was met first."""
     h = GEAR64[data]
     for shift in (1, 2, 4, 8, 16, 32):
         h[shift:] = h[shift:] + (h[:-shift] << np.uint64(shift))
     h = h[GRAM - 1 :]
     h = (h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h & ~np.uint64(4095)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(4095))
+    h = h >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= WIDTH:
         h = np.minimum(h[:-span], h[span:])
@@ -58,10 +60,8 @@ def segments_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     if n < 1:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
     found = [_window_minima(np.frombuffer(data, np.uint8)[at : at + PIECE + LEAST - 1]) for at in range(0, n, PIECE)]
-    if PIECE % 4096:
-        raise ValueError("pieces must keep places in step")
     least = np.concatenate(found)[:n]
-    value = least >> np.uint64(12)
+    value = least >> np.uint64(PLACE)
     first = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1])
     moved = np.concatenate([[0], np.cumsum(least[1:] != least[:-1])])
     last = np.concatenate([first[1:] - 1, [n - 1]])
@@ -73,8 +73,8 @@ def segments(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 found = [segments_of(x.as_py().encode()) for x in part.column(2)]
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
                 columns = [np.concatenate([f[j] for f in found]) for j in range(4)]
@@ -97,12 +97,16 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.nd
         symbol = np.where(alive, text[np.minimum(place + j, n - 1)], 0).astype(np.int64)
         key = key << 9 | symbol
         alive &= symbol > 0
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     new = np.ones(n, bool)
-    new[1:] = (ranked[1:] != ranked[:-1]) | ~alive[order[1:]]
+    new[1:] = ranked[1:] != ranked[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    ended = np.flatnonzero(~alive[order])  # those that end within the key: by their order in text
+    who = order[ended]
+    who = who[np.lexsort((who, rank[who]))]
+    order[ended], rank[who], new[ended] = who, ended, True
     h = chars
     while True:
         single = new & np.append(new[1:], True)
@@ -110,7 +114,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.nd
         if not len(slots):
             return order
         who = order[slots]
-        second = rank[np.minimum(who + h, n - 1)]
+        second = rank[who + h]
         again = np.argsort(rank[who] * n + second)
         who, second = who[again], second[again]
         order[slots] = who
@@ -181,8 +185,8 @@ def _contexts(places: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 rows, ms, los, texts, digests = [], [], [], [], []
                 for i, (text, found) in enumerate(zip(part.column(2), part.column(3), strict=True)):
                     data = text.as_py().encode()
@@ -211,10 +215,10 @@ def _indexed(rows: pa.Table) -> pa.Table:
     m = rows.column("m").to_pylist()
     out: list[list[tuple[int, int]]] = []
     lo = 0
-    while lo < len(m):  # hashes by hashes, so that one index holds about BUCKET bytes
+    while lo < len(m):  # hashes by hashes: small indices stay in the processor's cache
         hi, size = lo, 0
         texts: list[bytes] = []
-        while hi < len(m) and (size < BUCKET or m[hi] == m[hi - 1]):
+        while hi < len(m) and (size < INDEX or m[hi] == m[hi - 1]):
             texts.append(rows.column("context")[hi].as_py())
             size += len(texts[-1])
             hi += 1
@@ -238,37 +242,36 @@ def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _counted(hot: DataFrame) -> DataFrame:
     """Spans of the contexts (m, d1, d2, context, n) of hot hashes: windows whose digest counts twice or more."""
-    windows = hot.select("m", "d1", "d2", "context", "n").mapInArrow(_window_digests, "m long, d1 long, d2 long, w1 long, w2 long, at long, n long")
+    even = hot.select("m", "d1", "d2", "context", "n").repartition("d1", "d2")
+    windows = even.mapInArrow(_window_digests, "m long, d1 long, d2 long, w1 long, w2 long, at long, n long")
     again = windows.groupBy("m", "w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("m", "w1", "w2")
     met = windows.join(again, ["m", "w1", "w2"], "left_semi").groupBy("m", "d1", "d2").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    return met.select("m", "d1", "d2", F.transform("at", lambda a: F.struct(a.alias("start"), (a + LEAST).alias("end"))).alias("spans"))
+    return met.select("m", "d1", "d2", merged(F.transform("at", lambda a: F.struct(a.alias("start"), (a + LEAST).alias("end")))).alias("spans"))
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, spans (sorted, may overlap) of all rows of docs (doc_id, text) with a repeat of LEAST bytes or more.
+    """doc_id, key, spans (sorted, apart) of all rows of docs (doc_id, text) with a repeat of LEAST bytes or more.
 
     Rows that repeat both doc_id and text are occurrences of their own, so all of such a text of LEAST bytes or more is
     marked. Texts under LEAST bytes, empty and null ones have no spans.
     """
-    rows = keyed(docs)
-    found = stored(segments(rows))
-    again = found.groupBy("m").agg(F.count("*").alias("c"), F.max("self").alias("s")).where("c > 1 or s").select("m")
-    kept = found.join(bounded(cut(again)), "m", "left_semi")
-    places = kept.groupBy("doc_id", "key").agg(F.collect_list(F.struct("m", "lo", "hi")).alias("spans"), F.count("*").alias("k"))
-    places = with_spans(docs, places.select("doc_id", "key", F.array_distinct("spans").alias("spans")), 300_000, inner=True)
-    held = stored(_contexts(places))
-    unique = cut(held.groupBy("m", "d1", "d2").agg(F.count("*").alias("n"), F.first("context").alias("context")))
-    sizes = unique.groupBy("m").agg(F.sum(F.length("context")).alias("size"))
-    hot = cut(sizes.where(F.col("size") > HOT).select("m"))
+    found = segments(keyed(docs))
+    again = cut(found.groupBy("m").agg(F.count("*").alias("c"), F.max("self").alias("s")).where("c > 1 or s").select("m"))
+    kept = found.join(bounded(again), "m", "left_semi")
+    places = cut(kept.groupBy("doc_id", "key").agg(F.array_distinct(F.collect_list(F.struct("m", "lo", "hi"))).alias("spans")))
+    each = places.select(F.explode("spans").alias("s")).groupBy("s.m").agg(F.sum(F.col("s.hi") - F.col("s.lo") + LEAST).alias("size"))
+    total = each.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    hot = cut(each.where(F.col("size") > HOT).select("m"))
+    held = _contexts(with_spans(docs, places, 20_000, inner=True))
+    unique = held.groupBy("m", "d1", "d2").agg(F.count("*").alias("n"), F.first("context").alias("context"))
     n_hot = hot.count()
-    total = unique.agg(F.coalesce(F.sum(F.length("context")), F.lit(0))).first()[0]
     usual = unique.join(bounded(hot), "m", "left_anti") if n_hot else unique
     index = usual.groupBy(F.pmod("m", F.lit(max(1, -(-total // BUCKET)))).alias("bucket")).applyInArrow(_indexed, f"m long, d1 long, d2 long, spans array<{SPAN}>").where(F.size("spans") > 0)
     if n_hot:
         index = index.unionByName(_counted(unique.join(bounded(hot), "m", "left_semi")))
     marks = held.select("m", "d1", "d2", "doc_id", "key", "lo").join(index, ["m", "d1", "d2"])
-    placed = marks.select("doc_id", "key", F.explode(F.transform("spans", lambda s: F.struct((s["start"] + F.col("lo")).alias("start"), (s["end"] + F.col("lo")).alias("end")))).alias("s"))
-    return placed.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    placed = F.transform("spans", lambda s: F.struct((s["start"] + F.col("lo")).alias("start"), (s["end"] + F.col("lo")).alias("end")))
+    return marks.groupBy("doc_id", "key").agg(merged(F.array_sort(F.array_distinct(F.flatten(F.collect_list(placed))))).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:

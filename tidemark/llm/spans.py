@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, documents_only, text_key
@@ -20,6 +20,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", text_key(F.col("text")).alias("key"), "text")
 
 
+def merged(spans: Column) -> Column:
+    """Sorted spans, those that overlap or touch made one."""
+    start = F.expr(f"struct(cast(null as bigint) as a, cast(null as bigint) as b, cast(array() as array<{SPAN}>) as done)")
+    close = lambda x: F.concat(x["done"], F.array(F.struct(x["a"].alias("start"), x["b"].alias("end"))))
+    longer = lambda x, s: F.struct(x["a"].alias("a"), F.greatest(x["b"], s["end"]).alias("b"), x["done"].alias("done"))
+    fresh = lambda x, s: F.struct(s["start"].alias("a"), s["end"].alias("b"), F.when(x["a"].isNull(), x["done"]).otherwise(close(x)).alias("done"))
+    return F.aggregate(spans, start, lambda x, s: F.when(s["start"] <= x["b"], longer(x, s)).otherwise(fresh(x, s)), lambda x: F.when(x["a"].isNull(), x["done"]).otherwise(close(x)))
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, most: int = 1_000_000, inner: bool = False) -> DataFrame:
     """keyed(docs) and, by (doc_id, key), the column spans of spans (doc_id, key, spans: array of SPAN, or of others if inner).
 
