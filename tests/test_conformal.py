@@ -65,3 +65,22 @@ def test_ensemble_needs_indices(spark):
         conformal.require_oob(tm.SieveAR())
     with pytest.raises(tm.MethodConfigError):
         conformal.calibrate(None, 0.1, tm.CalibratorSpec())
+
+
+def test_arrays(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(80, 1))
+    y = 2 * z[:, 0] + rng.normal(size=80) * 0.2
+    model = tm.EnbPI().fit(conformal.LeastSquares(), z, y, method=tm.IID(), n_bootstraps=15, random_state=1)
+    for spec in (tm.Static(), tm.SlidingWindow(10), tm.NexCP(), tm.ACI(), tm.AgACI(gammas=(0.0, 0.1))):
+        known = np.isfinite(model.oob_prediction).all()
+        if known or not isinstance(spec, (tm.ACI, tm.AgACI)):
+            low, high, point = model.predict_interval(calibrator=spec)
+            assert low.shape == high.shape == point.shape == (80,)
+        low, high, point = model.predict_interval(z[:20], calibrator=spec, test_data=y[:20])
+        assert (low <= high).all() and abs(point - 2 * z[:20, 0]).max() < 0.3
+    with pytest.raises(tm.MethodConfigError):
+        model.predict_interval(z[:5], calibrator=tm.ACI())
+    assert np.isfinite(tm.fit_predict_oob(conformal.LeastSquares(), z, y, method=tm.MovingBlock(4), n_bootstraps=15, random_state=1)).mean() > 0.9
+    with pytest.raises(tm.InputDataError):
+        tm.enbpi_intervals(conformal.LeastSquares(), z, y[:9], method=tm.IID(), n_bootstraps=3, random_state=0)

@@ -21,6 +21,7 @@ from .errors import (  # noqa: E402
 )
 from .operators.conformal import agaci_bounds, aci_halfwidths, fit_ensemble, intervals, nexcp_quantile, register_calibrator, sliding_window_halfwidths, static_halfwidths  # noqa: E402
 from .operators.diagnostics import Diagnosis, diagnose  # noqa: E402
+from .operators.enbpi import EnbPI, enbpi_intervals, fit_predict_oob  # noqa: E402
 from .operators.forecast import forecast_frame, forecast_intervals  # noqa: E402
 from .operators.intervals import basic_interval, bca_interval, block_jackknife_se, jackknife_acceleration, jackknife_statistics, percentile_interval, studentized_interval  # noqa: E402
 from .plans.api import Bootstrap, Reduced, RunMetadata, bootstrap, bootstrap_frame, bootstrap_iter, bootstrap_reduce, bootstrap_reduce_panel, conf_int, conf_int_panel, register_method  # noqa: E402
