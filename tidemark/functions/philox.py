@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # The generator's multipliers and key increments.
 M0, M1, W0, W1 = 0xD2511F53, 0xCD9E8D57, 0x9E3779B9, 0xBB67AE85
 MASK, ROUNDS = 0xFFFFFFFF, 10
+CACHED = 4096  # permutations that numpy works on at a time
 
 #: Purposes, one for each kind of draw.
 IID_INDEX, BLOCK_START, RESTART, SEGMENT_START, RESIDUAL, INITIAL, MULTIPLIER = range(1, 8)
@@ -55,12 +56,30 @@ def below(word: Column, n: Column) -> Column:
 
 def words(counter: tuple[np.ndarray | int, ...], seed: int) -> np.ndarray:
     """The same in numpy: counters broadcast against each other; the last axis of the result holds the four words."""
-    c = [np.asarray(x, np.uint64) & np.uint64(MASK) for x in np.broadcast_arrays(*counter)]
-    s32 = np.uint64(32)
+    c = [np.array(x, np.uint64) & np.uint64(MASK) for x in np.broadcast_arrays(*counter)]
+    out = np.empty((*c[0].shape, 4), np.uint64)
+    flat, rows = [x.reshape(-1) for x in c], out.reshape(-1, 4)
+    for at in range(0, len(flat[0]), CACHED):
+        for j, w in enumerate(_permuted([x[at : at + CACHED] for x in flat], seed)):
+            rows[at : at + CACHED, j] = w
+    return out
+
+
+def _permuted(c: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    c0, c1, c2, c3 = (x.copy() for x in c)
+    p, q, s32, mask, m0, m1 = np.empty_like(c0), np.empty_like(c0), np.uint64(32), np.uint64(MASK), np.uint64(M0), np.uint64(M1)
     for k0, k1 in _round_keys(seed):
-        p, q = c[0] * np.uint64(M0), c[2] * np.uint64(M1)
-        c = [(q >> s32) ^ c[1] ^ np.uint64(k0), q & np.uint64(MASK), (p >> s32) ^ c[3] ^ np.uint64(k1), p & np.uint64(MASK)]
-    return np.stack(c, axis=-1)
+        np.multiply(c0, m0, out=p)
+        np.multiply(c2, m1, out=q)
+        np.right_shift(q, s32, out=c0)
+        np.bitwise_xor(c0, c1, out=c0)
+        np.bitwise_xor(c0, np.uint64(k0), out=c0)
+        np.bitwise_and(q, mask, out=c1)
+        np.right_shift(p, s32, out=c2)
+        np.bitwise_xor(c2, c3, out=c2)
+        np.bitwise_xor(c2, np.uint64(k1), out=c2)
+        np.bitwise_and(p, mask, out=c3)
+    return [c0, c1, c2, c3]
 
 
 def draws(seed: int, purpose: int, slot: int, first: int, replicates: int, n: int) -> np.ndarray:

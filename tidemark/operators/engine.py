@@ -118,8 +118,21 @@ def means_by_blocks(job: Job, x: np.ndarray, slot: int, first: int, count: int)
     return mean + total / n
 
 
+def means_by_segments(job: Job, x: np.ndarray, slot: int, first: int, count: int) -> np.ndarray:
+    """(count, d) means of stationary replicates, two prefix sums a segment."""
+    n = len(x)
+    begin, start = resample.segment_table(job.length(x), n, job.seed, slot, first, count)
+    size = np.diff(np.minimum(begin, n), axis=1, append=n)
+    mean = x.mean(axis=0)
+    upto = np.zeros((2 * n + 1, x.shape[1]))
+    np.cumsum(np.concatenate([x, x]) - mean, axis=0, out=upto[1:])
+    return mean + (upto[start + size] - upto[start]).sum(axis=1) / n
+
+
 def statistics_of(job: Job, statistic: Statistic, x: np.ndarray, slot: int, first: int, count: int) -> np.ndarray:
     """(count, k) statistics of replicates, values held by chunks only."""
+    if statistic.name == "mean" and job.stream == "counter" and isinstance(job.method, StationaryBlock):
+        return means_by_segments(job, x, slot, first, count)
     fast = statistic.name == "mean" and job.stream == "counter" and isinstance(job.method, OBSERVATION_METHODS) and not isinstance(job.method, (IID, StationaryBlock, TaperedBlock))
     if fast and not (isinstance(job.method, NonOverlappingBlock) and job.length(x) > len(x)):
         return means_by_blocks(job, x, slot, first, count)

@@ -96,13 +96,45 @@ def counter_starts(method: MethodSpec, length: int, n: int, seed: int, slot: int
     return philox.scaled(philox.draws(seed, philox.BLOCK_START, slot, first, count, -(-n // length)), top) * factor
 
 
+def counter_segments(length: int, n: int, seed: int, slot: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of stationary replicates: (begin, start) by segment, and the segment of each place (count, n).
+
+    Segment lengths are geometric with mean `length`, from a word each; as many are drawn as the longest replicate needs.
+    """
+    begin, start = segment_table(length, n, seed, slot, first, count)
+    edge = np.zeros((count, n), np.int64)
+    row, k = np.nonzero((begin > 0) & (begin < n))
+    edge[row, begin[row, k]] = 1
+    return begin, start, np.cumsum(edge, axis=1)
+
+
+def segment_table(length: int, n: int, seed: int, slot: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, start) of the segments of each replicate, enough of them to reach n."""
+    k = min(n, 2 * -(-n // length) + 8)
+    while True:
+        sizes = geometric(philox.draws(seed, philox.RESTART, slot, first, count, k), length)
+        end = np.cumsum(np.minimum(sizes, n), axis=1)
+        if k == n or end[:, -1].min() >= n:
+            break
+        k = min(n, 2 * k)
+    return end - np.minimum(sizes, n), philox.scaled(philox.draws(seed, philox.SEGMENT_START, slot, first, count, k), n)
+
+
+def geometric(words: np.ndarray, length: int) -> np.ndarray:
+    """Lengths 1, 2, ... of mean `length` from 32-bit words, by inversion."""
+    if length == 1:
+        return np.ones(words.shape, np.int64)
+    return 1 + np.floor(np.log((words.astype(float) + 0.5) * 2.0**-32) / np.log(1 - 1 / length)).astype(np.int64)
+
+
 def counter_indices(method: MethodSpec, length: int, n: int, seed: int, slot: int, first: int, count: int) -> np.ndarray:
     """(count, n) indices of replicates first, first + 1, ..."""
     if isinstance(method, IID):
         return philox.scaled(philox.draws(seed, philox.IID_INDEX, slot, first, count, n), n)
     if isinstance(method, StationaryBlock):
-        restart = philox.draws(seed, philox.RESTART, slot, first, count, n) * np.uint64(length) < np.uint64(1 << 32)
-        return _segments(restart, philox.scaled(philox.draws(seed, philox.SEGMENT_START, slot, first, count, n), n))
+        begin, start, segment = counter_segments(length, n, seed, slot, first, count)
+        t = np.arange(n)
+        return (np.take_along_axis(start, segment, axis=1) + t - np.take_along_axis(begin, segment, axis=1)) % n
     return _from_starts(counter_starts(method, length, n, seed, slot, first, count), length, n, isinstance(method, CircularBlock))
 
 
@@ -172,10 +204,13 @@ def index_frame(sizes: DataFrame, method: MethodSpec, n_bootstraps: int, seed: i
         rows = rows.select("series_id", "b", "n", "length", F.explode(each).alias("e")).select("series_id", "b", "n", "length", "e.*").where("t < n")
         if isinstance(method, IID):
             return rows.select("series_id", "b", "t", philox.below(F.col("w0"), F.col("n")).cast("int").alias("idx"))
-        place = Window.partitionBy("series_id", "b").orderBy("t")
-        restart = (F.col("t") == 0) | (F.col("w0") * F.col("length") < 1 << 32)
-        start = F.last(F.when(restart, F.struct("t", philox.below(F.col("w1"), F.col("n")).alias("at"))), ignorenulls=True).over(place)
-        return rows.withColumn("s", start).select("series_id", "b", "t", F.pmod(F.col("s.at") + F.col("t") - F.col("s.t"), F.col("n")).cast("int").alias("idx"))
+        # here t counts segments, each of at least one place
+        u = F.log((F.col("w0") + 0.5) * 2.0**-32) / F.log(1 - 1 / F.nullif(F.col("length"), F.lit(1)))
+        size = F.least(F.coalesce(1 + F.floor(u), F.lit(1)), F.col("n")).cast("int")
+        upto = F.sum("size").over(Window.partitionBy("series_id", "b").orderBy("t"))
+        segments = rows.withColumn("size", size).withColumn("begin", (upto - F.col("size")).cast("int")).where("begin < n")
+        cells = segments.select("series_id", "b", "n", "begin", philox.below(F.col("w1"), F.col("n")).alias("at"), F.explode(F.sequence(F.lit(0), F.least(F.col("size"), F.col("n") - F.col("begin")) - 1)).alias("o"))
+        return cells.select("series_id", "b", (F.col("begin") + F.col("o")).cast("int").alias("t"), F.pmod(F.col("at") + F.col("o"), F.col("n")).cast("int").alias("idx"))
     starts = start_frame(sizes, method, n_bootstraps, seed)
     idx = F.col("start") + F.col("o")
     cells = starts.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("length"), F.col("n") - F.col("k") * F.col("length")) - 1)).alias("o"))

@@ -191,8 +191,9 @@ ix AS (SELECT series_id, CAST(b AS INTEGER) AS b, t, CAST((w * n::UBIGINT) >> 32
 _STATIONARY_IX = f"""{S}, {N}, q AS (SELECT z.*, b, k4 FROM z, range({B}) r(b), range((SELECT max(n) // 4 + 1 FROM z)) k(k4) WHERE k4 * 4 < n),
 {philox.sql("q", ["k4", "b", "slot", str(philox.RESTART)], SEED)}, {philox.sql("q", ["k4", "b", "slot", str(philox.SEGMENT_START)], SEED, "pg")},
 d AS ({_spread("ph", "t")}), e AS ({_spread("pg", "t")}),
-g AS (SELECT d.series_id, d.b, d.t, d.n, max(CASE WHEN d.t = 0 OR d.w * least({LENGTH}, d.n)::UBIGINT < 4294967296 THEN d.t END) OVER (PARTITION BY d.series_id, d.b ORDER BY d.t) AS at FROM d WHERE d.t < d.n),
-ix AS (SELECT g.series_id, CAST(g.b AS INTEGER) AS b, g.t, CAST((CAST((e.w * g.n::UBIGINT) >> 32 AS BIGINT) + g.t - g.at) % g.n AS INTEGER) AS idx FROM g JOIN e ON e.series_id = g.series_id AND e.b = g.b AND e.t = g.at)"""
+g AS (SELECT series_id, b, t, n, least(CASE WHEN least({LENGTH}, n) = 1 THEN 1 ELSE 1 + CAST(floor(ln((w + 0.5::DOUBLE) * pow(2.0::DOUBLE, -32)) / ln(1 - 1.0::DOUBLE / least({LENGTH}, n))) AS BIGINT) END, n) AS size FROM d WHERE t < n),
+h AS (SELECT *, sum(size) OVER (PARTITION BY series_id, b ORDER BY t) - size AS bg FROM g),
+ix AS (SELECT h.series_id, CAST(h.b AS INTEGER) AS b, CAST(bg + o AS INTEGER) AS t, CAST((CAST((e.w * h.n::UBIGINT) >> 32 AS BIGINT) + o) % h.n AS INTEGER) AS idx FROM h JOIN e ON e.series_id = h.series_id AND e.b = h.b AND e.t = h.t, range((SELECT max(n) FROM z)) x(o) WHERE bg < h.n AND o < size AND bg + o < h.n)"""
 INDEX_SQL = {
     "iid": _IID_IX,
     "moving": block_index_sql("n - len + 1"),
