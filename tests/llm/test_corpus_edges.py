@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, chunks, common, decontaminate, hmm, language, runindex, secrets, simhash, topk
-from plain import components, plain_repeats
+from plain_versions import components, plain_repeats
 
 DOCS = "doc_id long, text string, lang string, source string"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))

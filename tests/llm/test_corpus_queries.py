@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from plain import components, plain_repeats
+from plain_versions import components, plain_repeats
 from tidemark.llm import bpe, queries, runindex, simhash
 
 
