@@ -71,3 +71,22 @@ def test_results_do_not_depend_on_partitions(spark):
         got = [tuple(r) for r in tm.bootstrap_reduce_panel(s, method=tm.MovingBlock(3), statistic="mean", n_bootstraps=9, random_state=5).long().orderBy("series_id", "b").collect()]
         first = got if s is series else first
     assert got == first
+
+
+def test_segments_are_geometric():
+    begin, start = resample.segment_table(5, 4000, 1, 0, 0, 20)
+    sizes = np.diff(np.minimum(begin, 4000), axis=1)
+    assert abs(sizes[sizes > 0].mean() - 5) < 0.2 and start.max() < 4000
+    assert (resample.geometric(np.array([0, 2**32 - 1], np.uint64), 1) == 1).all()
+    assert resample.geometric(np.array([2**32 - 1], np.uint64), 9) == 1
+
+
+@pytest.mark.parametrize("length", [1, 3, 40])
+def test_stationary_means_are_means(length):
+    from tidemark.operators.engine import make_job, statistics_of
+    from tidemark.operators.reduce import statistic_of
+
+    x = np.random.default_rng(0).normal(size=(37, 2))
+    got = statistics_of(make_job(tm.StationaryBlock(length), 30, 3, "counter"), statistic_of("mean"), x, 2, 0, 30)
+    idx = resample.counter_indices(tm.StationaryBlock(length), min(length, 37), 37, 3, 2, 0, 30)
+    np.testing.assert_allclose(got, x[idx].mean(axis=1), atol=1e-12)

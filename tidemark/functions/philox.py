@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # The generator's multipliers and key increments.
 M0, M1, W0, W1 = 0xD2511F53, 0xCD9E8D57, 0x9E3779B9, 0xBB67AE85
 MASK, ROUNDS = 0xFFFFFFFF, 10
-CACHED = 4096  # permutations that numpy works on at a time
+CACHED = 1 << 14  # permutations that numpy works on at a time
 
 #: Purposes, one for each kind of draw.
 IID_INDEX, BLOCK_START, RESTART, SEGMENT_START, RESIDUAL, INITIAL, MULTIPLIER = range(1, 8)

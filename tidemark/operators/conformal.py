@@ -166,8 +166,8 @@ def aci_frame(calibration: DataFrame, scores: DataFrame, alpha: float = 0.1, gam
         new = a["level"] + gamma * (alpha - F.when(s["s"] > q, 1.0).otherwise(0.0))
         return F.struct(new.alias("level"), F.concat(a["out"], F.array(F.struct(s["pos"].alias("pos"), q.alias("width"), used.alias("level")))).alias("out"))
 
-    cs = calibration.groupBy("series_id").agg(F.array_sort(F.collect_list(F.abs("r"))).alias("cs"))
-    line = scores.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.abs("r").alias("s")))).alias("line"))
+    cs = calibration.groupBy("series_id").agg(F.sort_array(F.collect_list(F.abs("r"))).alias("cs"))
+    line = scores.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.abs("r").alias("s")))).alias("line"))
     start = F.struct(F.lit(float(alpha)).alias("level"), F.expr(f"cast(array() as array<struct<pos:{dict(scores.dtypes)['pos']},width:double,level:double>>)").alias("out"))
     return cs.join(line, "series_id").select("series_id", F.explode(F.aggregate("line", start, step, lambda a: a["out"])).alias("e")).select("series_id", "e.*")
 
@@ -232,11 +232,12 @@ def fit_ensemble(rows: DataFrame, method: MethodSpec, n_bootstraps: int = 50, se
     id_type = dict(rows.dtypes)["series_id"]
     width = rows.select(F.max(F.size("z"))).first()[0] or 0
     job = make_job(method, n_bootstraps, seed, "counter")
-    packed = rows.groupBy("series_id", "slot").agg(F.array_sort(F.collect_list(F.struct("t", "y", "z"))).alias("s"))
+    packed = rows.groupBy("series_id", "slot").agg(F.sort_array(F.collect_list(F.struct("t", "y", "z"))).alias("s"))
     each = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bootstraps - 1))).alias("b")).repartition("series_id", "b")
 
     def run(frames):  # noqa: ANN001, ANN202
         for frame in frames:
+            out_rows = []
             for sid, slot, s, b in frame.itertuples(index=False):
                 y = np.array([r["y"] for r in s])
                 z = np.array([list(r["z"]) for r in s]).reshape(len(y), width)
@@ -245,7 +246,8 @@ def fit_ensemble(rows: DataFrame, method: MethodSpec, n_bootstraps: int = 50, se
                 out = np.setdiff1d(np.arange(len(y)), idx)
                 pred = np.asarray(model.predict(z[out]), float) if len(out) else np.empty(0)
                 t = [s[i]["t"] for i in out]
-                yield pd.DataFrame({"series_id": [sid], "b": [b], "t": [t], "pred": [pred], "model": [cloudpickle.dumps(model)]})
+                out_rows.append((sid, b, t, pred, cloudpickle.dumps(model)))
+            yield pd.DataFrame(out_rows, columns=["series_id", "b", "t", "pred", "model"])
 
     done = each.mapInPandas(run, f"series_id {id_type}, b int, t array<int>, pred array<double>, model binary")
     flat = done.select("series_id", F.explode(F.arrays_zip("t", "pred")).alias("e")).select("series_id", "e.t", "e.pred")

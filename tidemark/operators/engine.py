@@ -141,7 +141,8 @@ def statistics_of(job: Job, statistic: Statistic, x: np.ndarray, slot: int, firs
 
 def packed(series: SeriesFrame, n_bootstraps: int, tasks: int | None = None) -> DataFrame:
     """(series_id, slot, x array of rows, first, count): one row for each series and chunk of replicates."""
-    rows = series.rows.groupBy("series_id", "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("x"))
+    x = F.col("x")[0] if series.width == 1 else F.col("x")  # one column: plain numbers, no array a row
+    rows = series.rows.groupBy("series_id", "slot").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", x.alias("x")))), lambda s: s["x"]).alias("x"))
     chunk = max(1, math.ceil(n_bootstraps / (tasks or 1)))
     firsts = [(a, min(chunk, n_bootstraps - a)) for a in range(0, n_bootstraps, chunk)]
     if len(firsts) == 1:
@@ -151,7 +152,8 @@ def packed(series: SeriesFrame, n_bootstraps: int, tasks: int | None = None) ->
 
 
 def _matrix(cell: pa.Scalar, width: int) -> np.ndarray:
-    return cell.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    values = cell.values.flatten() if width > 1 else cell.values
+    return values.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def _skips(method: MethodSpec) -> bool:

@@ -176,7 +176,7 @@ def bca_frame(statistics: DataFrame, estimates: DataFrame, accelerations: DataFr
 
     met = statistics.join(estimates, "series_id")
     share = F.avg(F.when(F.col("theta") < F.col("point"), 1.0).when(F.col("theta") == F.col("point"), 0.5).otherwise(0.0))
-    per = met.groupBy("series_id", "point").agg(share.alias("share"), F.array_sort(F.collect_list("theta")).alias("s")).join(accelerations, "series_id")
+    per = met.groupBy("series_id", "point").agg(share.alias("share"), F.sort_array(F.collect_list("theta")).alias("s")).join(accelerations, "series_id")
     per = per.withColumn("l", levels("share", "acceleration"))
     return per.select("series_id", quantile_at(F.col("s"), F.col("l")[0]).alias("lower"), quantile_at(F.col("s"), F.col("l")[1]).alias("upper"), "point")
 

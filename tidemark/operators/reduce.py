@@ -78,7 +78,7 @@ def block_sum_means(rows: DataFrame, starts: DataFrame, method: MethodSpec) -> D
     centred = rows.withColumn("mean", F.avg("v").over(of))
     upto = F.sum(F.col("v") - F.col("mean")).over(of.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
     sums = centred.select(F.col("series_id").alias("_s"), "mean", F.col("t").alias("_t"), upto.alias("p"), F.max("t").over(of).alias("top"))
-    packed = sums.groupBy("_s").agg(F.max("mean").alias("mean"), F.transform(F.array_sort(F.collect_list(F.struct("_t", "p"))), lambda s: s["p"]).alias("p"))
+    packed = sums.groupBy("_s").agg(F.max("mean").alias("mean"), F.transform(F.sort_array(F.collect_list(F.struct("_t", "p"))), lambda s: s["p"]).alias("p"))
     met = starts.join(packed, F.col("series_id").eqNullSafe(F.col("_s")))
     size = F.least(F.col("length"), F.col("n") - F.col("k") * F.col("length"))
     at = lambda i: F.when(i > 0, F.col("p")[i - 1]).otherwise(0.0)

@@ -175,7 +175,7 @@ def bootstrap_frame(series: SeriesFrame, method: MethodSpec, n_bootstraps: int,
     got = resample.gathered(series.rows, idx)
     if not isinstance(method, TaperedBlock):
         return got
-    means = series.rows.select("series_id", F.posexplode("x").alias("dim", "v")).groupBy("series_id", "dim").agg(F.avg("v").alias("m")).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
+    means = series.rows.select("series_id", F.posexplode("x").alias("dim", "v")).groupBy("series_id", "dim").agg(F.avg("v").alias("m")).groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
     lengths = sizes.select("series_id", "length")
     rows = got.join(means, "series_id").join(lengths, "series_id")
     weight = taper_column(method, F.pmod("t", "length"), F.col("length"))
