@@ -23,6 +23,7 @@ from .blocklength import optimal_block_length
 from .reduce import Statistic
 
 CELLS = 1 << 18  # values that a kernel holds at a time, about
+BATCH = 20_000  # statistics that go back to Spark at a time, or one series' if it has more
 #: Methods registered from outside: (spec, x, slot, first, count) -> values (count, n, d).
 CUSTOM: dict[type, Callable] = {}
 
@@ -168,19 +169,31 @@ def run_statistics(series: SeriesFrame, job: Job, statistic: Statistic, tasks: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done: list[tuple[int, int, np.ndarray]] = []
+            rows = 0
             for i in range(batch.num_rows):
                 x, slot, first, count = _matrix(batch.column(2)[i], width), batch.column(1)[i].as_py(), batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
-                own = batch.column(0).slice(i, 1)
                 try:
-                    theta = statistics_of(job, statistic, x, slot, first, count)
+                    done.append((i, first, statistics_of(job, statistic, x, slot, first, count)))
                 except ModelStabilityError as e:
                     if not skips:
                         raise
-                    yield pa.RecordBatch.from_arrays([own, pa.array([None], pa.int32()), pa.array([None], pa.list_(pa.float64())), pa.array([e.code])], names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([None], pa.int32()), pa.array([None], pa.list_(pa.float64())), pa.array([e.code])], names)
                     continue
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * theta.shape[1]), pa.array(theta.ravel()))
-                take = pa.array(np.zeros(count, np.int64))
-                yield pa.RecordBatch.from_arrays([own.take(take), pa.array(np.arange(first, first + count, dtype=np.int32)), lists, pa.nulls(count, pa.string())], names)
+                rows += count
+                if rows >= BATCH:
+                    yield together(batch.column(0), done)
+                    done, rows = [], 0
+            if done:
+                yield together(batch.column(0), done)
+
+    def together(ids: pa.Array, done: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        """Statistics of several series in one batch, since a batch each would cost more than many a small series."""
+        counts = [len(theta) for _, _, theta in done]
+        theta = np.concatenate([t for _, _, t in done])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(theta) + 1, dtype=np.int32) * theta.shape[1]), pa.array(theta.ravel()))
+        b = np.concatenate([np.arange(first, first + n, dtype=np.int32) for (_, first, _), n in zip(done, counts, strict=True)])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat([i for i, _, _ in done], counts))), pa.array(b), lists, pa.nulls(len(theta), pa.string())], names)
 
     names = ["series_id", "b", "theta", "status"]
     return packed(series, job.n_bootstraps, tasks).mapInArrow(run, f"series_id {id_type}, b int, theta array<double>, status string")
