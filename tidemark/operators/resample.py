@@ -236,15 +236,18 @@ def start_frame(sizes: DataFrame, method: MethodSpec, n_bootstraps: int, seed: i
 
 
 def inbag_counts(indices: DataFrame) -> DataFrame:
-    """(series_id, b, t, n_inbag) for every observation: how often replicate b holds it, also if never."""
-    held = indices.groupBy("series_id", "b", F.col("idx").alias("t")).agg(F.count("*").alias("n_inbag"))
-    return indices.select("series_id", "b", "t").join(held, ["series_id", "b", "t"], "left").select("series_id", "b", "t", F.coalesce("n_inbag", F.lit(0)).cast("long").alias("n_inbag"))
+    """(series_id, b, t, n_inbag) for every observation: how often replicate b holds it, also if never.
+
+    Each place counts nothing for itself and one for the observation it holds, so one grouping does, on the partitions that
+    the replicates are dealt by already.
+    """
+    each = F.explode(F.array(F.struct(F.col("t"), F.lit(0).alias("one")), F.struct(F.col("idx").alias("t"), F.lit(1).alias("one")))).alias("e")
+    return indices.select("series_id", "b", each).groupBy("series_id", "b", F.col("e.t").alias("t")).agg(F.sum("e.one").alias("n_inbag"))
 
 
 def out_of_bag(indices: DataFrame) -> DataFrame:
     """(series_id, b, t) of the observations that replicate b doesn't hold."""
-    held = indices.select("series_id", "b", F.col("idx").alias("t")).distinct()
-    return indices.select("series_id", "b", "t").join(held, ["series_id", "b", "t"], "left_anti")
+    return inbag_counts(indices).where("n_inbag = 0").drop("n_inbag")
 
 
 def gathered(rows: DataFrame, indices: DataFrame) -> DataFrame:
