@@ -20,31 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import bounded, connected_components, cut, documents_only, table, unused
+from .spans import keyed
 
-DISTANCE, SEED, PIECE = 2, 42, 1 << 16
+DISTANCE, SEED = 2, 42
 GOLAY = 0b101011100011  # fixed value: generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
 def fingerprint(data: bytes, shingle: int = 3, seed: int = SEED) -> int:
     """Unsigned SimHash of a UTF-8 text; bytes.lower() and bytes.split() are ASCII-only, as the contract asks."""
-    words = data.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = (ends - lengths)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, PIECE):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=True)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return shingles.majority(shingles.hashes(data, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -143,7 +132,7 @@ def links(nodes: DataFrame) -> DataFrame:
     return home.join(visit, (F.col("h.anchor") == F.col("v.anchor")) & (F.col("h.node") < F.col("v.node")) & near).select(F.col("h.node").alias("a"), F.col("v.node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links lead to, itself included) for every row of docs.
 
     Null and empty texts have fingerprint zero, linked like any other; a repeated doc_id gives a row per input row, and its
@@ -160,7 +149,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return out.select("doc_id", "fp", F.when(F.col("component") < 1 << 62, F.col("component")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id that links lead to, itself included) for every row of docs.
+
+    Links are all pairs of a Jaccard similarity of 0.8 or more of their word shingles, found exactly (`shingles`); a text
+    with fewer words is one shingle. Null and empty texts are linked with each other. Rows with a null doc_id are
+    returned and link others, but give no component its id (a component of such rows alone has a null component_id).
+    """
+    rows = keyed(docs)
+    found = cut(shingles.prints(rows, shingle, SEED))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    nodes = cut(found.groupBy("node").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"), F.count("*").alias("copies"), F.min("doc_id").alias("id"), one.alias("of")))
+    parts = cut(connected_components(shingles.links(rows, found, nodes, shingle, SEED)).join(nodes.select("node", "id"), "node"))
+    ids = parts.groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = parts.join(bounded(cut(ids)), "component").select("node", F.lit(True).alias("linked"), "component_id")
+    named = nodes.join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return found.select("doc_id", "fp", "node").join(named, "node").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of docs, all columns, without those linked to a document with a smaller doc_id.
 
     Rows with a null doc_id stay, and so do all rows of the doc_id that is kept.
@@ -171,5 +178,5 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = fingerprint_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
