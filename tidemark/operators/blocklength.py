@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
 
 def autocovariances(x: np.ndarray, lags: int) -> np.ndarray:
@@ -41,9 +44,14 @@ def tuning_lag(r: np.ndarray, n: int) -> int:
 
 def plug_in(x: np.ndarray) -> tuple[float, float]:
     """Lengths for the stationary and the circular bootstrap of one column."""
+    return tuned(x)[1:]
+
+
+def tuned(x: np.ndarray) -> tuple[int, float, float]:
+    """The tuning lag, and the lengths of plug_in()."""
     n = len(x)
     if n < 4:
-        return 1.0, 1.0
+        return 1, 1.0, 1.0
     r = autocovariances(x, _bounds(n)[1])
     m = tuning_lag(r, n)
     k = np.arange(-m, m + 1)
@@ -54,7 +62,7 @@ def plug_in(x: np.ndarray) -> tuple[float, float]:
     for scale in (2.0, 4.0 / 3.0):
         d = scale * spectrum**2
         out.append(1.0 if d <= 0 or abs(g) <= 1e-12 else min(max((2 * g * g / d) ** (1 / 3) * n ** (1 / 3), 1.0), float(top)))
-    return out[0], out[1]
+    return m, out[0], out[1]
 
 
 def optimal_block_length(x: np.ndarray, kind: str = "circular") -> int:
@@ -64,16 +72,38 @@ def optimal_block_length(x: np.ndarray, kind: str = "circular") -> int:
     return int(min(max(math.ceil(longest), 1), len(x)))
 
 
+def _loose(kind: DataType) -> DataType:
+    """The type with every field of it nullable."""
+    return StructType([StructField(f.name, _loose(f.dataType)) for f in kind.fields]) if isinstance(kind, StructType) else kind
+
+
+def _kind(rows: DataFrame) -> StructType:
+    kinds = {"series_id": _loose(rows.schema["series_id"].dataType), "n": IntegerType(), "m": IntegerType(), "b_stationary": DoubleType(), "b_circular": DoubleType()}
+    return StructType([StructField(k, v) for k, v in kinds.items()])
+
+
+def _whole(series: pa.Table) -> pa.Table:
+    """One series (series_id, t, v) -> its row of block_lengths()."""
+    x = series.sort_by("t").column("v").to_numpy()
+    m, stationary, circular = tuned(x.astype(float))
+    first = series.column("series_id").slice(0, 1)
+    first = first.cast(to_arrow_type(_loose(from_arrow_type(first.type))))
+    return pa.table([first, pa.array([len(x)], pa.int32()), pa.array([m], pa.int32()), pa.array([stationary]), pa.array([circular])], ["series_id", "n", "m", "b_stationary", "b_circular"])
+
+
 def block_lengths(rows: DataFrame, max_lags: int = 400) -> DataFrame:
-    """rows (series_id, t, v) -> series_id, n, m, b_stationary, b_circular, all with DataFrame functions.
+    """rows (series_id, t, v) -> series_id, n, m, b_stationary, b_circular; with DataFrame functions up to max_lags.
 
-    Lags are joined as windows over one ordering of each series; max_lags bounds the columns computed and must be at least
-    ceil(sqrt(n)) + 5 for the longest series (400: series of 156,000 observations).
+    Lags are joined as windows over one ordering of each series. Series whose rule asks for more than max_lags (about
+    ceil(sqrt(n)) + 5; 400: series of over 156,000 observations) go whole through the kernel's tuned() instead, which
+    computes all of their lags.
     """
     of, order = Window.partitionBy("series_id"), Window.partitionBy("series_id").orderBy("t")
     c = rows.withColumns({"n": F.count("*").over(of), "c": F.col("v") - F.avg("v").over(of)})
     c = c.withColumns({"run": F.greatest(F.lit(5), F.sqrt(F.log10("n")).cast("int"))})
     c = c.withColumn("most", F.least(F.ceil(F.sqrt("n")) + F.col("run"), F.col("n") - 1).cast("int"))
+    long = c.where(F.col("most") > max_lags).select("series_id", "t", "v").groupBy("series_id").applyInArrow(_whole, _kind(rows))
+    c = c.where(F.col("most") <= max_lags)
     past = F.collect_list("c").over(order.rowsBetween(-max_lags, 0))
     pairs = c.withColumn("past", past).select("series_id", "n", "run", "most", "c", F.posexplode(F.slice(F.reverse("past"), F.lit(1), F.col("most") + 1)).alias("k", "p"))
     r = pairs.groupBy("series_id", "n", "run", "most", "k").agg((F.sum(F.col("c") * F.col("p")) / F.col("n")).alias("r"))
@@ -98,4 +128,5 @@ def block_lengths(rows: DataFrame, max_lags: int = 400) -> DataFrame:
         raw = F.cbrt(2 * F.col("g") * F.col("g") / F.nullif(d, F.lit(0.0))) * F.cbrt("n")
         return F.when((F.col("n") < 4) | (d <= 0) | (F.abs("g") <= 1e-12), 1.0).otherwise(F.least(F.greatest(raw, F.lit(1.0)), top))
 
-    return sums.select("series_id", F.col("n").cast("int").alias("n"), "m", length(2.0).alias("b_stationary"), length(4.0 / 3.0).alias("b_circular"))
+    short = sums.select("series_id", F.col("n").cast("int").alias("n"), "m", length(2.0).alias("b_stationary"), length(4.0 / 3.0).alias("b_circular"))
+    return short.unionByName(long)
