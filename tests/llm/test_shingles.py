@@ -47,3 +47,9 @@ def test_all_pairs_at_0_8_are_linked(spark):
 def test_sample_documents(spark, sf_dir):
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet").sort_values("doc_id")
     held(spark, list(docs[["doc_id", "text"]].itertuples(index=False, name=None)))
+
+
+def test_each_component_keeps_a_row_where_ids_repeat(spark):
+    a, b = "the first of two texts, with words enough", "another text altogether, and not at all like it"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(3, a), (5, b)]

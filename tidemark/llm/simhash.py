@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bounded, connected_components, cut, documents_only, table, unused
+from .common import bounded, connected_components, cut, documents_only, table, text_key, unused
 from .spans import keyed
 
 DISTANCE, SEED = 2, 42
@@ -156,6 +156,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     with fewer words is one shingle. Null and empty texts are linked with each other. Rows with a null doc_id are
     returned and link others, but give no component its id (a component of such rows alone has a null component_id).
     """
+    return _grouped(docs, shingle).drop("key")
+
+
+def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
+    """As near_duplicates(), with key = text_key(text)."""
     rows = keyed(docs)
     found = cut(shingles.prints(rows, shingle, SEED))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
@@ -164,17 +169,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     ids = parts.groupBy("component").agg(F.min("id").alias("component_id"))
     linked = parts.join(bounded(cut(ids)), "component").select("node", F.lit(True).alias("linked"), "component_id")
     named = nodes.join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    return found.select("doc_id", "fp", "node").join(named, "node").select("doc_id", "fp", "component_id")
+    return found.select("doc_id", "key", "fp", "node").join(named, "node").select("doc_id", "key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of docs, all columns, without those linked to a document with a smaller doc_id.
 
-    Rows with a null doc_id stay, and so do all rows of the doc_id that is kept.
+    Rows with a null doc_id stay, and so do all rows of its component that have the doc_id that is kept; of a repeated
+    doc_id, rows with other texts go or stay with the components of their own.
     """
-    (name,) = unused(docs, "gone")
-    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bounded(cut(gone)), F.col("doc_id") == F.col(name), "left_anti")
+    d, k = unused(docs, "d", "k")
+    gone = _grouped(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct()
+    return docs.join(bounded(cut(gone)), (F.col("doc_id") == F.col(d)) & (text_key(F.col("text")) == F.col(k)), "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
