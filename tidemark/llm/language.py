@@ -3,7 +3,7 @@
 posterior(l) ~ prior(l | host) * P(markup language | l) * P(address suffix | l) * P(text | l) ** tempering
 
 * Text: naive Bayes over hashed byte trigrams, trained here on a bounded sample of labelled documents (`SAMPLE` documents, the
-  smallest by a hash of doc_id). Trigrams overlap, so the likelihood is tempered: it counts as `EVIDENCE` independent
+  smallest by a hash of doc_id, and a few of each label). Trigrams overlap, so the likelihood is tempered: it counts as `EVIDENCE` independent
   trigrams at most. One more hypothesis, "und", gives all trigrams one likelihood.
 * Markup language and suffix: tables of counts against the language that the text alone gives, summed over all rows by
   grouped aggregation and smoothed; both have a bounded number of values (those that name a known language, other, none).
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, documents_only, table, text_key, unused
@@ -66,11 +66,13 @@ class TextModel:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
     """Fit the text model on labelled (doc_id, text, lang): the `sample` documents of the smallest hash of doc_id.
 
-    Null labels, ids and texts are left out; with no labelled row the model knows no language and every text is "und".
+    So that no label goes unseen, the sample // MOST_LANGUAGES smallest of each label come besides, over all rows. Null labels, ids and texts are left out; with no labelled row the model knows no language and every text is "und".
     """
     rows = documents_only(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
-    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample).select(F.col("doc_id").alias("_id"))
-    chosen = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("lang", "text")
+    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), F.lit(None).cast("string").alias("_lang"))
+    by_label = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    ids = ids.union(by_label.where(F.col("_rank") <= max(1, sample // MOST_LANGUAGES)).select("doc_id", "lang"))
+    chosen = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("_lang").isNull() | (F.col("lang") == F.col("_lang"))), "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
