@@ -227,3 +227,79 @@ def test_metadata(spark):
     assert tm.metadata_for(tm.SieveAR).supports_oob is False
     with pytest.raises(tm.MethodConfigError):
         tm.metadata_for(tm.Wild())
+
+
+RECURSIVE = [tm.ResidualBootstrap(tm.AR(order=2)), tm.ResidualBootstrap(tm.AR(burn_in=5, initial="random_block")), tm.ResidualBootstrap(tm.AR(), tm.Wild("gaussian")), tm.SieveAR(max_lag=3), tm.ResidualBootstrap(tm.ARIMA(order=(1, 1, 0)))]
+
+
+@pytest.mark.parametrize("method", RECURSIVE, ids=repr)
+def test_counter_stream_of_models(spark, method):
+    run = lambda **k: tm.bootstrap(X, method=method, n_bootstraps=9, random_state=3, stream="counter", **k)
+    out = run()
+    assert out.metadata.stream == "counter"
+    values = out.values()
+    assert values.shape == (9, 60) and len(np.unique(values[:, -1])) > 1
+    job = make_job(method, 9, 3, "counter")
+    for name in ("mean", "var", "std"):  # moments come step by step, without the paths
+        got = statistics_of(job, statistic_of(name), X[:, None], 0, 0, 9)[:, 0]
+        np.testing.assert_allclose(got, getattr(np, name)(values, axis=1), rtol=1e-9)
+    later = statistics_of(job, statistic_of("mean"), X[:, None], 0, 4, 3)[:, 0]  # replicates don't depend on how they are dealt
+    np.testing.assert_allclose(later, values[4:7].mean(axis=1), rtol=1e-9)
+
+
+def test_counter_weights():
+    for kind in ("rademacher", "gaussian", "mammen"):
+        w = models.counter_weights(kind, 1, 2, 0, 50, 400)
+        assert abs(w.mean()) < 0.03 and abs(w.var() - 1) < 0.05
+    assert set(np.unique(models.counter_weights("rademacher", 1, 2, 0, 4, 50))) == {-1.0, 1.0}
+
+
+@pytest.mark.parametrize("window", ["bartlett", "blackman", "hamming", "hann", "tukey"])
+@pytest.mark.parametrize("length", [1, 2, 65, 100, "auto"])
+def test_tapered_frame_is_the_kernels(spark, window, length):
+    series = tm.from_arrays([X[:50, None], np.tile(X, 2)[:90, None]], spark, was_1d=True)
+    method = tm.TaperedBlock(length, window=window)
+    a = tm.bootstrap_frame(series, method, 3, 5).orderBy("series_id", "b", "t").toPandas()
+    b = tm.bootstrap(series, method=method, n_bootstraps=3, random_state=5, stream="counter").frame.orderBy("series_id", "b", "t").toPandas()
+    np.testing.assert_allclose([x[0] for x in a.x], [x[0] for x in b.x], atol=1e-12)
+
+
+def test_panel_intervals_of_several_columns(spark):
+    xy = np.column_stack([X, X[::-1] * 2 + 1])
+    series = tm.from_arrays([xy[:40], xy], spark)
+    for kind, method, statistic in (("percentile", tm.MovingBlock(5), "mean"), ("basic", tm.CircularBlock(5), "median"), ("studentized", tm.MovingBlock(5), "mean"), ("bca", tm.IID(), "mean"), ("bca", tm.IID(), "std"), ("studentized", tm.IID(), "std"), ("percentile", tm.IID(), lambda v, i: v.max(axis=0) - v.min(axis=0))):
+        got = tm.conf_int_panel(series, statistic, method=method, kind=kind, n_bootstraps=60, seed=4).orderBy("series_id", "dim").toPandas()
+        assert got[["series_id", "dim"]].to_numpy().tolist() == [[0, 0], [0, 1], [1, 0], [1, 1]]
+        for k, n in enumerate((40, 60)):
+            if kind != "percentile" or isinstance(statistic, str):
+                assert (got.lower < got.point).all() and (got.point < got.upper).all()
+            one = tm.from_arrays([xy[:n]], spark)
+            one = tm.SeriesFrame(one.rows.selectExpr(f"{k}L as series_id", f"{k}L as slot", "t", "x"), 2, False)
+            again = tm.conf_int_panel(one, statistic, method=method, kind=kind, n_bootstraps=60, seed=4).orderBy("dim").toPandas()
+            np.testing.assert_allclose(got[got.series_id == k][["lower", "upper", "point"]], again[["lower", "upper", "point"]])
+
+
+def test_panel_studentized_is_the_arrays(spark):
+    for statistic, more in (("mean", {}), ("median", {}), ("mean", {"se_block_length": 6}), ("std", {"se_statistic": lambda v, i: v.std() / 7})):
+        row = tm.conf_int_panel([X], statistic, method=tm.MovingBlock(5), kind="studentized", n_bootstraps=40, seed=4, **more).first()
+        low, high, point = tm.conf_int(X, statistic, method=tm.MovingBlock(5), kind="studentized", n_bootstraps=40, random_state=4, stream="counter", **more)
+        np.testing.assert_allclose((row["lower"], row["upper"], row["point"]), (low, high, point))
+    with pytest.raises(tm.MethodConfigError):
+        tm.conf_int_panel([X], "mean", method=tm.MovingBlock(), kind="studentized")
+
+
+def test_panels_are_no_single_series(spark):
+    for bad in ([X, X], X.tolist(), np.zeros((2, 5, 2))):
+        with pytest.raises(tm.MethodConfigError):
+            tm.conf_int(bad, "mean", method=tm.IID())
+    with pytest.raises(tm.MethodConfigError):
+        list(tm.bootstrap_iter(tm.from_arrays([X[:, None], X[:, None]], spark), method=tm.IID()))
+
+
+def test_counts_are_those_of_the_indices(spark):
+    for stream in ("seedseq", "counter"):
+        out = tm.bootstrap(X, method=tm.StationaryBlock(4), n_bootstraps=3, random_state=0, stream=stream)
+        got = out.inbag_counts().orderBy("b", "t").toPandas().n_inbag.to_numpy().reshape(3, 60)
+        assert (got == [np.bincount(i, minlength=60) for i in out.indices()]).all()
+        frame = resample.inbag_counts(out.frame.select("series_id", "b", "t", "idx")).orderBy("b", "t").toPandas().n_inbag.to_numpy()
+        assert (got.ravel() == frame).all()

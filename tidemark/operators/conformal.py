@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import copy
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Codes, MethodConfigError, OOBUnavailableError
 from ..specs import ACI, OBSERVATION_METHODS, AgACI, CalibratorSpec, MethodSpec, NexCP, SlidingWindow, Static
-from . import resample
 from .engine import make_job
 
 # The grid of step sizes of Zaffran et al. (2022).
@@ -222,38 +222,57 @@ class Ensemble:
         return rows.select("series_id", "t", (F.row_number().over(Window.partitionBy("series_id").orderBy("t")) - 1).alias("pos"), "r")
 
 
+def _bag(make: Callable[[], object], z: np.ndarray, y: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Fits a model on each row of idx: by observation, the sum of predictions by models that didn't see it, and their number; the models."""
+    total, n_out, models = np.zeros(len(y)), np.zeros(len(y), np.int64), []
+    for bag in idx:
+        model = copy.deepcopy(make()).fit(z[bag], y[bag])
+        out = np.bincount(bag, minlength=len(y)) == 0
+        if out.any():
+            total[out] += np.asarray(model.predict(z[out]), float).ravel()
+            n_out += out
+        models.append(cloudpickle.dumps(model))
+    return total, n_out, models
+
+
 def fit_ensemble(rows: DataFrame, method: MethodSpec, n_bootstraps: int = 50, seed: int = 0, make: Callable[[], object] = LeastSquares) -> Ensemble:
     """EnbPI (Xu and Xie, 2021). rows: series_id, slot, t, y double, z array of regressors.
 
-    Each (series, replicate) fits one copy on its bag and predicts the rows outside; predictions are averaged by row with
-    partial aggregation, and models stay where they are, as rows.
+    Each (series, replicate) fits one copy on its bag and predicts the rows outside. Series are packed as columns of
+    numbers and shipped once for each chunk of replicates, which are no more than there are cores to fill; a chunk adds up
+    its predictions by row, so what is shuffled afterwards is a row an observation and chunk, not one a replicate.
     """
     require_oob(method)
     id_type = dict(rows.dtypes)["series_id"]
-    width = rows.select(F.max(F.size("z"))).first()[0] or 0
+    width, few = rows.select(F.max(F.size("z")), F.approx_count_distinct("series_id")).first()
+    width = width or 0
     job = make_job(method, n_bootstraps, seed, "counter")
-    packed = rows.groupBy("series_id", "slot").agg(F.sort_array(F.collect_list(F.struct("t", "y", "z"))).alias("s"))
-    each = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bootstraps - 1))).alias("b")).repartition("series_id", "b")
-
-    def run(frames):  # noqa: ANN001, ANN202
-        for frame in frames:
-            out_rows = []
-            for sid, slot, s, b in frame.itertuples(index=False):
-                y = np.array([r["y"] for r in s])
-                z = np.array([list(r["z"]) for r in s]).reshape(len(y), width)
-                idx = resample.counter_indices(method, job.length(np.column_stack([y, z])), len(y), job.seed, int(slot), int(b), 1)[0]
-                model = copy.deepcopy(make()).fit(z[idx], y[idx])
-                out = np.setdiff1d(np.arange(len(y)), idx)
-                pred = np.asarray(model.predict(z[out]), float) if len(out) else np.empty(0)
-                t = [s[i]["t"] for i in out]
-                out_rows.append((sid, b, t, pred, cloudpickle.dumps(model)))
-            yield pd.DataFrame(out_rows, columns=["series_id", "b", "t", "pred", "model"])
-
-    done = each.mapInPandas(run, f"series_id {id_type}, b int, t array<int>, pred array<double>, model binary")
-    flat = done.select("series_id", F.explode(F.arrays_zip("t", "pred")).alias("e")).select("series_id", "e.t", "e.pred")
-    mean = flat.groupBy("series_id", "t").agg(F.avg("pred").alias("pred"), F.count("*").alias("n_out"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    chunk = max(1, -(-n_bootstraps // max(1, min(n_bootstraps, -(-cores // max(1, few))))))
+    line = F.sort_array(F.collect_list(F.struct("t", "y", "z")))
+    packed = rows.groupBy("series_id", "slot").agg(line.alias("s")).select("series_id", "slot", F.col("s.t").alias("t"), F.col("s.y").alias("y"), F.flatten("s.z").alias("z"))
+    firsts = list(range(0, n_bootstraps, chunk))
+    each = packed.select("*", F.explode(F.array(*[F.lit(a) for a in firsts])).alias("first"))
+    each = each.repartition("series_id", "first") if len(firsts) > 1 else each
+    names = ["series_id", "first", "t", "total", "n_out", "models"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                slot, first = batch.column(1)[i].as_py(), batch.column(5)[i].as_py()
+                t, y, z = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in (2, 3, 4))
+                z = z.reshape(len(y), width)
+                idx = job.indices(job.length(np.column_stack([y, z])), len(y), int(slot), first, min(chunk, n_bootstraps - first))
+                total, n_out, models = _bag(make, z, y, idx)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array(t), pa.array(total), pa.array(n_out), pa.array(models, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(5).slice(i, 1), *lists], names)
+
+    done = each.mapInArrow(run, f"series_id {id_type}, first int, t array<int>, total array<double>, n_out array<long>, models array<binary>")
+    flat = done.select("series_id", F.explode(F.arrays_zip("t", "total", "n_out")).alias("e")).select("series_id", "e.t", "e.total", "e.n_out")
+    mean = flat.groupBy("series_id", "t").agg((F.sum("total") / F.nullif(F.sum("n_out"), F.lit(0))).alias("pred"), F.sum("n_out").alias("n_out"))
     oob = rows.select("series_id", "t", "y").join(mean, ["series_id", "t"], "left").select("series_id", "t", "y", "pred", F.coalesce("n_out", F.lit(0)).alias("n_out"))
-    return Ensemble(oob, done.select("series_id", "b", "model"), width)
+    members = done.select("series_id", "first", F.posexplode("models").alias("i", "model")).select("series_id", (F.col("first") + F.col("i")).alias("b"), "model")
+    return Ensemble(oob, members, width)
 
 
 def predict(ensemble: Ensemble, new: DataFrame) -> DataFrame:

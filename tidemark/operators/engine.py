@@ -48,6 +48,12 @@ class Job:
         root = np.random.SeedSequence(entropy, spawn_key=key, n_children_spawned=spawned)
         return resample.child(root, slot) if self.panel else root
 
+    def indices(self, length: int, n: int, slot: int, first: int, count: int) -> np.ndarray:
+        """(count, n) indices of replicates first, first + 1, ... of a series of n observations."""
+        if self.stream == "counter":
+            return resample.counter_indices(self.method, length, n, self.seed, slot, first, count)
+        return resample.seedseq_indices(self.method, length, n, self.root(slot), first, count)
+
     def length(self, x: np.ndarray) -> int:
         method = self.method
         if isinstance(method, IID):
@@ -67,8 +73,7 @@ def make_job(method: MethodSpec, n_bootstraps: int, random_state: object, stream
         raise MethodConfigError("n_bootstraps must be an integer of 1 or more", code=Codes.INVALID_PARAMETER, given=n_bootstraps)
     if stream not in ("seedseq", "counter"):
         raise MethodConfigError("stream must be 'seedseq' or 'counter'", code=Codes.INVALID_PARAMETER, given=stream)
-    recursive = isinstance(method, (ResidualBootstrap, SieveAR))
-    if stream == "counter" and not recursive:
+    if stream == "counter":
         return Job(method, n_bootstraps, stream, resample.seed64(random_state), **more)
     root = resample.root_of(random_state)
     return Job(method, n_bootstraps, "seedseq", 0, (root.entropy, root.spawn_key, root.n_children_spawned), **more)
@@ -88,17 +93,21 @@ def chunks_of(job: Job, x: np.ndarray, slot: int, first: int, count: int) -> Ite
         length = job.length(values)
         for b in range(first, first + count, size):
             n = min(size, first + count - b)
-            if job.stream == "counter":
-                idx = resample.counter_indices(job.method, length, len(x), job.seed, slot, b, n)
-            else:
-                idx = resample.seedseq_indices(job.method, length, len(x), job.root(slot), b, n)
+            idx = job.indices(length, len(x), slot, b, n)
             yield b, resample.tapered(values, idx, job.method, length) if isinstance(job.method, TaperedBlock) else values[idx], idx
         return
     ctx = models.prepare(values, job.method, exog)
     for b in range(first, first + count, size):
         n = min(size, first + count - b)
-        drawn = [models.draw(ctx, g) for g in resample.generators(job.root(slot), b, n)]
-        yield b, models.paths(ctx, np.stack([d[0] for d in drawn]), np.stack([d[1] for d in drawn])), None
+        yield b, models.paths(ctx, *_drawn(job, ctx, slot, b, n)), None
+
+
+def _drawn(job: Job, ctx: models.Prepared, slot: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Innovations and first values of some replicates, from the job's stream."""
+    if job.stream == "counter":
+        return models.counter_draws(ctx, job.seed, slot, first, count)
+    drawn = [models.draw(ctx, g) for g in resample.generators(job.root(slot), first, count)]
+    return np.stack([d[0] for d in drawn]), np.stack([d[1] for d in drawn])
 
 
 def means_by_blocks(job: Job, x: np.ndarray, slot: int, first: int, count: int) -> np.ndarray:
@@ -130,6 +139,19 @@ def means_by_segments(job: Job, x: np.ndarray, slot: int, first: int, count: int
     return mean + (upto[start + size] - upto[start]).sum(axis=1) / n
 
 
+def moments_by_steps(job: Job, statistic: Statistic, x: np.ndarray, slot: int, first: int, count: int) -> np.ndarray | None:
+    """(count, d) means, variances or deviations of AR and VAR paths, step by step; None for other models."""
+    values, exog = (x[:, : x.shape[1] - job.exog], x[:, x.shape[1] - job.exog :]) if job.exog else (x, None)
+    ctx = models.prepare(values, job.method, exog)
+    if ctx.kind == "arima":
+        return None
+    size, out = max(1, CELLS // max(1, x.size)), []
+    for b in range(first, first + count, size):
+        mean, var = models.path_moments(ctx, *_drawn(job, ctx, slot, b, min(size, first + count - b)), statistic.name != "mean")
+        out.append(mean if statistic.name == "mean" else var if statistic.name == "var" else np.sqrt(var))
+    return np.concatenate(out)
+
+
 def statistics_of(job: Job, statistic: Statistic, x: np.ndarray, slot: int, first: int, count: int) -> np.ndarray:
     """(count, k) statistics of replicates, values held by chunks only."""
     if statistic.name == "mean" and job.stream == "counter" and isinstance(job.method, StationaryBlock):
@@ -137,17 +159,21 @@ def statistics_of(job: Job, statistic: Statistic, x: np.ndarray, slot: int, firs
     fast = statistic.name == "mean" and job.stream == "counter" and isinstance(job.method, OBSERVATION_METHODS) and not isinstance(job.method, (IID, StationaryBlock, TaperedBlock))
     if fast and not (isinstance(job.method, NonOverlappingBlock) and job.length(x) > len(x)):
         return means_by_blocks(job, x, slot, first, count)
+    if statistic.name in ("mean", "var", "std") and isinstance(job.method, (ResidualBootstrap, SieveAR)) and not job.custom:
+        moments = moments_by_steps(job, statistic, x, slot, first, count)
+        if moments is not None:
+            return moments
     return np.concatenate([statistic.rows(v, i, job.was_1d) for _, v, i in chunks_of(job, x, slot, first, count)])
 
 
-def packed(series: SeriesFrame, n_bootstraps: int, tasks: int | None = None) -> DataFrame:
-    """(series_id, slot, x array of rows, first, count): one row for each series and chunk of replicates."""
+def packed(series: SeriesFrame, n_bootstraps: int, tasks: int | None = None, start: int = 0) -> DataFrame:
+    """(series_id, slot, x array of rows, first, count): one row for each series and chunk of replicates, from `start` on."""
     x = F.col("x")[0] if series.width == 1 else F.col("x")  # one column: plain numbers, no array a row
     rows = series.rows.groupBy("series_id", "slot").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", x.alias("x")))), lambda s: s["x"]).alias("x"))
     chunk = max(1, math.ceil(n_bootstraps / (tasks or 1)))
-    firsts = [(a, min(chunk, n_bootstraps - a)) for a in range(0, n_bootstraps, chunk)]
+    firsts = [(start + a, min(chunk, n_bootstraps - a)) for a in range(0, n_bootstraps, chunk)]
     if len(firsts) == 1:
-        return rows.select("series_id", "slot", "x", F.lit(0).alias("first"), F.lit(n_bootstraps).alias("count"))
+        return rows.select("series_id", "slot", "x", F.lit(start).alias("first"), F.lit(n_bootstraps).alias("count"))
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(c).alias("count")) for a, c in firsts]))
     return rows.select("series_id", "slot", "x", each.alias("c")).select("series_id", "slot", "x", "c.*").repartition("series_id", "first")
 
@@ -199,8 +225,8 @@ def run_statistics(series: SeriesFrame, job: Job, statistic: Statistic, tasks: i
     return packed(series, job.n_bootstraps, tasks).mapInArrow(run, f"series_id {id_type}, b int, theta array<double>, status string")
 
 
-def run_values(series: SeriesFrame, job: Job, dtype: str = "double", tasks: int | None = None) -> DataFrame:
-    """(series_id, b, t, idx, x array, status): all values of all replicates; idx is null for model-based methods."""
+def run_values(series: SeriesFrame, job: Job, dtype: str = "double", tasks: int | None = None, start: int = 0) -> DataFrame:
+    """(series_id, b, t, idx, x array, status): all values of all replicates from `start` on; idx is null for model-based methods."""
     width, skips = series.width, _skips(job.method)
     id_type = series.rows.schema["series_id"].dataType.simpleString()
     kind = np.float64 if dtype == "double" else np.float32
@@ -223,7 +249,47 @@ def run_values(series: SeriesFrame, job: Job, dtype: str = "double", tasks: int
                     none = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.from_numpy_dtype(kind)))]
                     yield pa.RecordBatch.from_arrays([own, *none, pa.array([e.code])], names)
 
-    return packed(series, job.n_bootstraps, tasks).mapInArrow(run, f"series_id {id_type}, b int, t int, idx int, x array<{dtype}>, status string")
+    return packed(series, job.n_bootstraps, tasks, start).mapInArrow(run, f"series_id {id_type}, b int, t int, idx int, x array<{dtype}>, status string")
+
+
+def run_counts(series: SeriesFrame, job: Job, tasks: int | None = None) -> DataFrame:
+    """(series_id, b, t, n_inbag long): how often each replicate holds each observation, counted where its indices are drawn."""
+    width = series.width
+    id_type = series.rows.schema["series_id"].dataType.simpleString()
+    names = ["series_id", "b", "t", "n_inbag"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, slot, first, count = _matrix(batch.column(2)[i], width), batch.column(1)[i].as_py(), batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
+                n, length = len(x), job.length(x)
+                size = max(1, CELLS // n)
+                for b in range(first, first + count, size):
+                    k = min(size, first + count - b)
+                    idx = job.indices(length, n, slot, b, k)
+                    found = np.bincount((idx + np.arange(k)[:, None] * n).ravel(), minlength=k * n)
+                    own = batch.column(0).slice(i, 1).take(pa.array(np.zeros(k * n, np.int64)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(np.repeat(np.arange(b, b + k, dtype=np.int32), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), k)), pa.array(found.astype(np.int64))], names)
+
+    return packed(series, job.n_bootstraps, tasks).mapInArrow(run, f"series_id {id_type}, b int, t int, n_inbag long")
+
+
+def run_points(series: SeriesFrame, call: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(series_id, dim, found array<double>): call(x) of each series' values (n, d), a row of numbers for each dimension."""
+    width = series.width
+    id_type = series.rows.schema["series_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.asarray(call(_matrix(x, width)), float) for x in batch.column(1)]
+            if not found:
+                continue
+            rows = np.concatenate(found)
+            dims = [len(f) for f in found]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), dims))), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in dims])), lists], ["series_id", "dim", "found"])
+
+    return packed(series, 1).select("series_id", "x").mapInArrow(run, f"series_id {id_type}, dim int, found array<double>")
 
 
 def check_before(method: MethodSpec, width: int, exog: int) -> None:
@@ -235,4 +301,4 @@ def check_before(method: MethodSpec, width: int, exog: int) -> None:
         models.check_method(method, width - exog, bool(exog))
 
 
-__all__ = ["Job", "TidemarkError", "check_before", "make_job", "run_statistics", "run_values", "statistics_of"]
+__all__ = ["Job", "TidemarkError", "check_before", "make_job", "run_counts", "run_points", "run_statistics", "run_values", "statistics_of"]

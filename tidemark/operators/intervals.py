@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import Codes, MethodConfigError
 from ..specs import IID, OBSERVATION_METHODS, MethodSpec, StationaryBlock
 from .blocklength import optimal_block_length
+from .reduce import Statistic
 
 KINDS = ("percentile", "basic", "studentized", "bca")
 NORMAL = NormalDist()
@@ -52,6 +53,21 @@ def block_jackknife_se(x: np.ndarray, statistic: Callable, block_length: int) ->
     return np.sqrt((g - 1) / g * ((left - left.mean(axis=0)) ** 2).sum(axis=0))
 
 
+def block_jackknife_errors(values: np.ndarray, indices: np.ndarray | None, what: Statistic, block_length: int, was_1d: bool = True) -> np.ndarray:
+    """(B, k): block_jackknife_se() of each replicate of values (B, n, d); means by block sums, in one pass."""
+    count, n, d = values.shape
+    g = n // block_length
+    if g < 2:
+        raise ValueError("at least two whole blocks are needed")
+    if what.name == "mean":
+        sums = values[:, : g * block_length].reshape(count, g, block_length, d).sum(axis=2)
+        left = (values.sum(axis=1)[:, None] - sums) / (n - block_length)
+    else:
+        cut = [np.s_[j * block_length : (j + 1) * block_length] for j in range(g)]
+        left = np.stack([what.rows(np.delete(values, c, axis=1), None if indices is None else np.delete(indices, c, axis=1), was_1d) for c in cut], axis=1)
+    return np.sqrt((g - 1) / g * ((left - left.mean(axis=1, keepdims=True)) ** 2).sum(axis=1))
+
+
 def studentized_interval(statistics: np.ndarray, errors: np.ndarray, estimate: np.ndarray, error: np.ndarray, alpha: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     check_alpha(alpha)
     if (np.asarray(errors) <= 0).any() or (np.asarray(error) <= 0).any():

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 from ..errors import Codes, DegenerateBlockBootstrapWarning, InputDataError, MethodConfigError, ModelStabilityError, NearUnitRootWarning
+from ..functions import philox
 from ..specs import AR, ARIMA, IID, VAR, BlockWild, MethodSpec, ResidualBootstrap, SieveAR, Wild
 from .blocklength import optimal_block_length
 
@@ -344,6 +346,39 @@ def draw(ctx: Prepared, g: np.random.Generator) -> tuple[np.ndarray, np.ndarray]
     return out, values[at : at + p]
 
 
+def counter_weights(kind: str, seed: int, slot: int, first: int, count: int, n: int) -> np.ndarray:
+    """(count, n) wild weights of the counter stream: a word each, two for a Gaussian one (Box and Muller's cosine)."""
+    u = lambda words: (words.astype(float) + 0.5) * 2.0**-32
+    if kind == "gaussian":
+        pairs = u(philox.draws(seed, philox.MULTIPLIER, slot, first, count, 2 * n))
+        return np.sqrt(-2 * np.log(pairs[:, ::2])) * np.cos(2 * np.pi * pairs[:, 1::2])
+    words = philox.draws(seed, philox.MULTIPLIER, slot, first, count, n)
+    if kind == "rademacher":
+        return (words >> np.uint64(31)).astype(float) * 2 - 1
+    return np.where(u(words) < MAMMEN_P, MAMMEN_LOW, MAMMEN_HIGH)
+
+
+def counter_draws(ctx: Prepared, seed: int, slot: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Innovations and first values of replicates first, first + 1, ... as pure functions of seed, series, replicate and step."""
+    e, arima = ctx.innovations, ctx.kind == "arima"
+    n = len(ctx.x)
+    p = len(ctx.fit.first) if arima else ctx.fit.order
+    steps = len(ctx.fit.residuals) - p if arima else n + ctx.burn_in - p
+    if ctx.weights is None:
+        out = e[philox.scaled(philox.draws(seed, philox.RESIDUAL, slot, first, count, steps), len(e))]
+    else:
+        kind, length = ctx.weights
+        v = np.repeat(counter_weights(kind, seed, slot, first, count, -(-steps // length)), length, axis=1)[:, :steps]
+        out = e * (v[:, :, None] if e.ndim == 2 else v)
+    if arima:
+        return out, np.tile(ctx.fit.first, (count, 1))
+    at = np.zeros((count, 1), np.int64)
+    if ctx.initial != "fixed":
+        at = philox.scaled(philox.draws(seed, philox.INITIAL, slot, first, count, 1), n - p + 1)
+    values = ctx.x if ctx.kind == "var" else ctx.x[:, 0]
+    return out, values[at + np.arange(p)]
+
+
 def paths(ctx: Prepared, e: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(B, n, d) from innovations e (B, steps[, d]) and first values (B, p[, d]); all replicates advance together."""
     if ctx.kind == "arima":
@@ -359,14 +394,35 @@ def paths(ctx: Prepared, e: np.ndarray, first: np.ndarray) -> np.ndarray:
             r.append(e[:, t])
         level = integrate(np.stack(w, axis=1) + fit.mean, list(ctx.levels))
         return (level + ctx.shift if ctx.shift is not None else level)[:, :, None]
-    p, lags = ctx.fit.order, ctx.fit.lags
-    x = [first[:, j] for j in range(p)]
-    for t in range(e.shape[1]):
-        now = e[:, t] + ctx.fit.const
-        if ctx.shift is not None:
-            now = now + ctx.shift[t]
-        for j in range(p):
-            now = now + (x[-1 - j] @ lags[j].T if ctx.kind == "var" else lags[j] * x[-1 - j])
-        x.append(now)
-    out = np.stack(x, axis=1)[:, ctx.burn_in :]
+    out = np.stack(list(_places(ctx, e, first)), axis=1)
     return out if ctx.kind == "var" else out[:, :, None]
+
+
+def _places(ctx: Prepared, e: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """The values of all replicates at each place in turn, (B,) or (B, d), after the burn-in; only `order` places are held."""
+    p, lags = ctx.fit.order, ctx.fit.lags
+    x = deque((first[:, j] for j in range(p)), maxlen=p)
+    for t in range(p + e.shape[1]):
+        if t < p:
+            now = first[:, t]
+        else:
+            now = e[:, t - p] + ctx.fit.const
+            if ctx.shift is not None:
+                now = now + ctx.shift[t - p]
+            for j in range(p):
+                now = now + (x[-1 - j] @ lags[j].T if ctx.kind == "var" else lags[j] * x[-1 - j])
+            x.append(now)
+        if t >= ctx.burn_in:
+            yield now
+
+
+def path_moments(ctx: Prepared, e: np.ndarray, first: np.ndarray, spread: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(B, d) means and, if spread, variances (by n) of AR and VAR paths that are never held; Welford's recursion."""
+    mean = squares = n = 0
+    for n, now in enumerate(_places(ctx, e, first), 1):
+        gap = now - mean
+        mean = mean + gap / n
+        if spread:
+            squares = squares + gap * (now - mean)
+    shape = lambda v: v.reshape(len(e), -1)
+    return shape(mean), shape(squares / n) if spread else None

@@ -11,7 +11,7 @@ import warnings
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Codes, DegenerateBlockBootstrapWarning, MethodConfigError, RNGContractError
@@ -181,6 +181,28 @@ def tapered(values: np.ndarray, idx: np.ndarray, method: TaperedBlock, length: i
     return mean + weight[None, :, None] * (values[idx] - mean)
 
 
+def taper_column(method: TaperedBlock, place: Column, length: Column) -> Column:
+    """The window of taper() at a place of a block of any length, not yet scaled to unit mean square."""
+    x = place / F.greatest(length - 1, F.lit(1))
+    wave = lambda k: F.cos(2 * k * np.pi * x)
+    if method.window == "bartlett":
+        return 1 - F.abs(2 * x - 1)
+    if method.window == "hann":
+        return 0.5 - 0.5 * wave(1)
+    if method.window == "hamming":
+        return 0.54 - 0.46 * wave(1)
+    if method.window == "blackman":
+        return 0.42 - 0.5 * wave(1) + 0.08 * wave(2)
+    edge = F.least(x, 1 - x)
+    return F.when(edge < method.alpha / 2, 0.5 - 0.5 * F.cos(2 * np.pi * edge / method.alpha)).otherwise(1.0)
+
+
+def taper_scale(method: TaperedBlock, length: Column) -> Column:
+    """What the window of a length is divided by, worked out once a series; null where all weights are one."""
+    squares = F.aggregate(F.sequence(F.lit(0), length - 1), F.lit(0.0), lambda a, i: a + F.pow(taper_column(method, i, length), 2))
+    return F.when((length > 1) & (squares > 0), F.sqrt(squares / length))
+
+
 # ---- the same as DataFrames -------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,7 @@ import math
 import platform
 import warnings
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Any
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +52,7 @@ class Bootstrap:
     frame: DataFrame
     metadata: RunMetadata
     was_1d: bool = True
-    sizes: dict[str, Any] = field(default_factory=dict)
+    counts: Callable[[], DataFrame] | None = None  # in-bag counts straight from the indices, where there are some
 
     @property
     def failed(self) -> DataFrame:
@@ -79,22 +78,14 @@ class Bootstrap:
         b = len({r["b"] for r in rows})
         return np.array([r["idx"] for r in rows], np.int32).reshape(b, -1)
 
-    def _need_indices(self) -> DataFrame:
-        if not metadata_for_kind(self.metadata.method).supports_oob:
-            raise OOBUnavailableError("model-based replicates have no observation indices", code=Codes.OOB_UNAVAILABLE, method=self.metadata.method)
-        return self.frame.select("series_id", "b", "t", "idx")
-
     def inbag_counts(self) -> DataFrame:
-        return resample.inbag_counts(self._need_indices())
+        """series_id, b, t, n_inbag: how often each replicate holds each observation; no value is gathered for it."""
+        if self.counts is None:
+            raise OOBUnavailableError("model-based replicates have no observation indices", code=Codes.OOB_UNAVAILABLE, method=self.metadata.method)
+        return self.counts()
 
     def out_of_bag(self) -> DataFrame:
-        return resample.out_of_bag(self._need_indices())
-
-
-def metadata_for_kind(kind: str) -> MethodMetadata:
-    from .metadata import _KNOWN
-
-    return next(v for k, v in _KNOWN.items() if k.kind == kind)
+        return self.inbag_counts().where("n_inbag = 0").drop("n_inbag")
 
 
 @dataclass(frozen=True)
@@ -139,8 +130,8 @@ def _notes(series: SeriesFrame, method: MethodSpec) -> list[str]:
     length = getattr(method, "block_length", None)
     if not isinstance(method, OBSERVATION_METHODS) or isinstance(method, (IID, StationaryBlock)) or not isinstance(length, int):
         return []
-    shortest = series.sizes().agg(F.min("n")).first()[0]
-    if shortest is not None and length >= shortest:
+    shortest = series.extent[1]
+    if 0 < shortest <= length:
         note = f"block length {length} with {shortest} observations: each replicate is one block"
         warnings.warn(DegenerateBlockBootstrapWarning(note), stacklevel=4)
         return [note]
@@ -150,22 +141,23 @@ def _notes(series: SeriesFrame, method: MethodSpec) -> list[str]:
 def _tasks(series: SeriesFrame, n_bootstraps: int) -> int:
     """Chunks of replicates per series: more where there are few series than cores."""
     cores = series.rows.sparkSession.sparkContext.defaultParallelism
-    few = series.rows.select("series_id").distinct().limit(cores).count()
-    return max(1, min(n_bootstraps, math.ceil(cores / max(1, few))))
+    return max(1, min(n_bootstraps, math.ceil(cores / max(1, series.extent[0]))))
 
 
 def bootstrap(X: object, *, method: MethodSpec, n_bootstraps: int = 999, random_state: object = None, exog: object = None, dtype: str = "float64", stream: str = "seedseq") -> Bootstrap:
     """Replicates of one series (array, frame) or of every series of a SeriesFrame.
 
     stream: "seedseq", a generator for each replicate, spawned from random_state; or "counter", a pure function of seed,
-    series, replicate and place, which any engine can repeat. Model-based methods always use "seedseq".
+    series, replicate and place, which any engine can repeat.
     """
     out = output_type(dtype)
     series, n_exog = _series(X, exog)
     engine.check_before(method, series.width, n_exog)
     job = engine.make_job(method, n_bootstraps, random_state, stream, panel=isinstance(X, SeriesFrame), exog=n_exog, was_1d=series.was_1d or series.width - n_exog == 1, clamp=isinstance(X, SeriesFrame))
     notes = _notes(series, method)
-    return Bootstrap(engine.run_values(series, job, out, _tasks(series, n_bootstraps)), _provenance(job, dtype, notes), series.was_1d)
+    tasks = _tasks(series, n_bootstraps)
+    counts = (lambda: engine.run_counts(series, job, tasks)) if isinstance(method, OBSERVATION_METHODS) else None
+    return Bootstrap(engine.run_values(series, job, out, tasks), _provenance(job, dtype, notes), series.was_1d, counts)
 
 
 def bootstrap_frame(series: SeriesFrame, method: MethodSpec, n_bootstraps: int, seed: int = 0) -> DataFrame:
@@ -176,21 +168,12 @@ def bootstrap_frame(series: SeriesFrame, method: MethodSpec, n_bootstraps: int,
     if not isinstance(method, TaperedBlock):
         return got
     means = series.rows.select("series_id", F.posexplode("x").alias("dim", "v")).groupBy("series_id", "dim").agg(F.avg("v").alias("m")).groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
-    lengths = sizes.select("series_id", "length")
+    lengths = sizes.select("series_id", "length", resample.taper_scale(method, F.col("length")).alias("scale"))
     rows = got.join(means, "series_id").join(lengths, "series_id")
-    weight = taper_column(method, F.pmod("t", "length"), F.col("length"))
+    weight = F.coalesce(resample.taper_column(method, F.pmod("t", "length"), F.col("length")) / F.col("scale"), F.lit(1.0))
     return rows.withColumn("w", weight).select("series_id", "b", "t", "idx", F.zip_with("x", "mean", lambda x, m: m + F.col("w") * (x - m)).alias("x"))
 
 
-def taper_column(method: TaperedBlock, place: Any, length: Any) -> Any:
-    """The taper's weight at a place of a block, from a table of the lengths' windows built as a literal for fixed lengths."""
-    if isinstance(method.block_length, int):
-        tables = [resample.taper(method.window, n, method.alpha) for n in range(1, method.block_length + 1)]
-        literal = F.array(*[F.array(*[F.lit(float(x)) for x in t]) for t in (tables if method.block_length <= 64 else tables[-1:])])
-        return F.get(F.get(literal, (length - 1).cast("int") if method.block_length <= 64 else F.lit(0)), place.cast("int"))
-    raise MethodConfigError("the relational taper needs a fixed block length; resolve 'auto' first", code=Codes.INVALID_PARAMETER)
-
-
 def with_lengths(series: SeriesFrame, method: MethodSpec, clamp: bool = True) -> DataFrame:
     """series_id, slot, n, length: "auto" resolved per series, and lengths cut to n."""
     sizes = series.sizes()
@@ -229,23 +212,24 @@ def bootstrap_reduce_panel(panel: object, *, indptr: object = None, method: Meth
 
 
 def bootstrap_iter(X: object, *, method: MethodSpec, n_bootstraps: int = 999, random_state: object = None, exog: object = None, stream: str = "seedseq", chunk: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """(values, indices) of `chunk` replicates at a time of one series, in order; nothing for a series that is skipped."""
-    x, was_1d = to_matrix(X)
-    z = to_exog(exog, len(x)) if exog is not None else None
-    engine.check_before(method, x.shape[1] + (z.shape[1] if z is not None else 0), z.shape[1] if z is not None else 0)
-    job = engine.make_job(method, n_bootstraps, random_state, stream, exog=z.shape[1] if z is not None else 0, clamp=False)
-    both = np.column_stack([x, z]) if z is not None else x
-    from ..errors import ModelStabilityError
+    """(values, indices) of `chunk` replicates at a time of one series, in order; nothing for a series that is skipped.
 
+    Each chunk is worked out by tasks, as bootstrap() would, when it is asked for; the driver holds one chunk.
+    """
+    series, n_exog = _series(X, exog)
+    if series.extent[0] > 1:
+        raise MethodConfigError("bootstrap_iter takes one series", code=Codes.INVALID_SHAPE, series=series.extent[0])
+    engine.check_before(method, series.width, n_exog)
+    job = engine.make_job(method, n_bootstraps, random_state, stream, exog=n_exog, was_1d=series.was_1d or series.width - n_exog == 1, clamp=False)
     for first in range(0, n_bootstraps, chunk):
-        try:
-            parts = list(engine.chunks_of(job, both, 0, first, min(chunk, n_bootstraps - first)))
-        except ModelStabilityError:
-            if not engine._skips(method):
-                raise
+        count = min(chunk, n_bootstraps - first)
+        part = engine.run_values(series, replace(job, n_bootstraps=count), "double", _tasks(series, count), first)
+        rows = part.select("b", "t", "idx", "x", "status").orderBy("b", "t").toArrow()
+        if not len(rows) or rows.column("status")[0].as_py() is not None:
             return
-        values = np.concatenate([v for _, v, _ in parts])
-        yield (values[:, :, 0] if was_1d else values), (None if parts[0][2] is None else np.concatenate([i for _, _, i in parts]).astype(np.int32))
+        values = rows.column("x").combine_chunks().flatten().to_numpy().reshape(count, len(rows) // count, -1)
+        idx = None if rows.column("idx").null_count else rows.column("idx").to_numpy().astype(np.int32).reshape(count, -1)
+        yield (values[:, :, 0] if series.was_1d else values), idx
 
 
 def register_method(kind: type, metadata: MethodMetadata, replicate: Callable) -> None:
@@ -256,6 +240,8 @@ def register_method(kind: type, metadata: MethodMetadata, replicate: Callable) -
 
 def conf_int(X: object, statistic: object, *, method: MethodSpec, kind: str = "percentile", alpha: float = 0.05, n_bootstraps: int = 999, random_state: object = None, stream: str = "seedseq", se_statistic: Callable | None = None, se_block_length: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lower, upper, point) of a statistic of one series; kinds: percentile, basic, studentized, bca."""
+    if isinstance(X, (list, tuple)) or getattr(X, "ndim", 1) > 2:
+        raise MethodConfigError("conf_int takes one series, as an array or frame; a list or three dimensions may mean a panel: conf_int_panel", code=Codes.INVALID_PARAMETER)
     intervals.check_kind(kind, method, alpha)
     what = reduce.statistic_of(statistic, open_level=True)
     x, was_1d = to_matrix(X)
@@ -286,31 +272,71 @@ def conf_int(X: object, statistic: object, *, method: MethodSpec, kind: str = "p
     return squeeze(low, high, point)
 
 
-def conf_int_panel(series: SeriesFrame, statistic: object, *, method: MethodSpec, kind: str = "percentile", alpha: float = 0.05, n_bootstraps: int = 999, seed: int = 0, se_block_length: int | None = None) -> DataFrame:
-    """series_id, lower, upper, point for every series (one column each), all as DataFrame operators over replicate statistics.
+def _with_errors(what: reduce.Statistic, se_statistic: Callable | None, length: int | None, was_1d: bool) -> Callable:
+    """A vectorized statistic: k numbers of each replicate, then their k standard errors."""
+
+    def call(values: np.ndarray, indices: np.ndarray | None) -> np.ndarray:
+        v = values.reshape(len(values), values.shape[1], -1)
+        theta = what.rows(v, indices, was_1d)
+        if se_statistic is None:
+            return np.concatenate([theta, intervals.block_jackknife_errors(v, indices, what, length, was_1d)], axis=1)
+        shown = v[:, :, 0] if was_1d else v
+        return np.concatenate([theta, [np.ravel(np.asarray(se_statistic(shown[b], None if indices is None else indices[b]), float)) for b in range(len(v))]], axis=1)
+
+    return call
+
+
+def conf_int_panel(panel: object, statistic: object, *, indptr: object = None, method: MethodSpec, kind: str = "percentile", alpha: float = 0.05, n_bootstraps: int = 999, seed: int = 0, se_statistic: Callable | None = None, se_block_length: int | None = None) -> DataFrame:
+    """series_id, dim, lower, upper, point for every series and every number that the statistic gives (a column each, for named ones).
 
-    Studentized intervals are of the mean and need se_block_length; BCa needs IID.
+    panel: a SeriesFrame, a list of series, or a flat array with offsets. dim is left out where there can only be one: a
+    named statistic of one column. Studentized errors: se_statistic, or a block jackknife with se_block_length or else the
+    method's own length (IID: 1). BCa needs IID.
     """
     intervals.check_kind(kind, method, alpha)
     what = reduce.statistic_of(statistic, open_level=True)
-    rows = series.scalar().select("series_id", "t", "v")
-    points = rows.groupBy("series_id").agg(what.column(F.col("v")).alias("point"))
+    if not isinstance(panel, SeriesFrame):
+        arrays, one = to_panel(panel, indptr)
+        panel = from_arrays(arrays, was_1d=one)
+    was_1d = panel.was_1d or panel.width == 1
+    single = panel.width == 1 and what.name != "call"
+    key = F.col("series_id") if single else F.struct("series_id", "dim")
+    run = lambda s: bootstrap_reduce_panel(panel, method=method, statistic=s, n_bootstraps=n_bootstraps, random_state=seed)
+    observed = isinstance(method, OBSERVATION_METHODS)
+    identity = lambda x: np.arange(len(x))[None] if observed else None
+    plain = lambda v: what.rows(v.reshape(1, len(v), -1), None, was_1d)[0]
+    found = lambda i: F.col("found")[i]
     if kind == "studentized":
-        if what.name != "mean" or se_block_length is None:
-            raise MethodConfigError("a studentized panel takes the mean and an explicit se_block_length", code=Codes.INVALID_PARAMETER)
-        reps = bootstrap_frame(series, method, n_bootstraps, seed).select("series_id", "b", "t", F.col("x")[0].alias("v"))
-        theta = reps.groupBy("series_id", "b").agg(F.avg("v").alias("theta")).join(intervals.block_jackknife_means(reps, se_block_length), ["series_id", "b"])
-        points = points.join(intervals.block_jackknife_means(rows, se_block_length), "series_id")
-        return intervals.studentized_frame(theta, points, alpha)
-    reduced = bootstrap_reduce_panel(series, method=method, statistic=what, n_bootstraps=n_bootstraps, random_state=seed)
-    theta = reduced.frame.where("status is null").select("series_id", "b", F.col("theta")[0].alias("theta"))
-    if kind == "bca":
-        if what.name != "mean":
-            raise MethodConfigError("a BCa panel takes the mean", code=Codes.INVALID_PARAMETER)
-        return intervals.bca_frame(theta, points, intervals.acceleration_of_means(rows), alpha)
-    if kind == "basic":
-        return intervals.basic_frame(theta, points, alpha)
-    return intervals.percentile_frame(theta, alpha).join(points, "series_id")
+        length = se_block_length or (1 if isinstance(method, IID) else method.block_length if isinstance(method.block_length, int) else None)
+        if length is None and se_statistic is None:
+            raise MethodConfigError("a studentized panel needs se_block_length, se_statistic, or a method with a block length of its own", code=Codes.INVALID_PARAMETER)
+        both = _with_errors(what, se_statistic, length, was_1d)
+        points = engine.run_points(panel, lambda x: both(x[None, :, 0] if was_1d else x[None], identity(x)).reshape(2, -1).T)
+        points = points.select(key.alias("series_id"), found(0).alias("point"), found(1).alias("se"))
+        k = F.expr("cast(size(theta) div 2 as int)")
+        pairs = F.posexplode(F.arrays_zip(F.slice("theta", F.lit(1), k).alias("theta"), F.slice("theta", k + 1, k).alias("se"))).alias("dim", "e")
+        theta = run(reduce.Statistic("call", call=both, vectorized=True)).frame.where("status is null").select("series_id", "b", pairs)
+        out = intervals.studentized_frame(theta.select(key.alias("series_id"), "b", "e.theta", "e.se"), points, alpha)
+    else:
+        theta = run(what).long().select(key.alias("series_id"), "b", "theta")
+        long = panel.long().select(key.alias("series_id"), "t", "v") if what.name != "call" else None
+        if kind == "bca" and what.name == "mean":
+            points, acceleration = long.groupBy("series_id").agg(what.column(F.col("v")).alias("point")), intervals.acceleration_of_means(long)
+        elif kind == "bca":
+            both = engine.run_points(panel, lambda x: np.column_stack([what.rows(x[None], identity(x), was_1d)[0], intervals.jackknife_acceleration(intervals.jackknife_statistics(x, plain))]))
+            points, acceleration = both.select(key.alias("series_id"), found(0).alias("point")), both.select(key.alias("series_id"), found(1).alias("acceleration"))
+        elif long is not None:
+            points = long.groupBy("series_id").agg(what.column(F.col("v")).alias("point"))
+        else:
+            points = engine.run_points(panel, lambda x: what.rows(x[None], identity(x), was_1d).T).select(key.alias("series_id"), found(0).alias("point"))
+        if kind == "bca":
+            out = intervals.bca_frame(theta, points, acceleration, alpha)
+        elif kind == "basic":
+            out = intervals.basic_frame(theta, points, alpha)
+        else:
+            out = intervals.percentile_frame(theta, alpha).join(points, "series_id")
+    ids = ["series_id"] if single else ["series_id.series_id", "series_id.dim"]
+    return out.select(*ids, "lower", "upper", "point")
 
 
 __all__ = ["Bootstrap", "Reduced", "bootstrap", "bootstrap_iter", "bootstrap_reduce", "bootstrap_reduce_panel", "conf_int", "conf_int_panel", "metadata_for", "optimal_block_length", "active_session"]

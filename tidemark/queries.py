@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import philox
-from .operators import conformal, diagnostics, intervals, reduce, resample
+from .operators import conformal, diagnostics, intervals, models, reduce, resample
 from .operators.blocklength import block_lengths
 from .operators.forecast import ar1_frame, forecast_frame
 from .plans import api
@@ -151,9 +151,19 @@ def taper_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(spark.createDataFrame(rows, "window_name string, t int, weight double"))
 
 
-@query("method_metadata")
+@query("method_metadata", """SELECT * FROM (VALUES
+('iid', 'exchangeable observations', true, false, true, true, false, 'Efron 1979', 'O(B*n)', 'wrong under serial dependence'),
+('moving_block', 'stationarity; weak dependence', true, false, true, true, true, 'Kunsch 1989; Liu-Singh 1992', 'O(B*n)', 'depends on block length; ends of the series are drawn less often'),
+('circular_block', 'stationarity; weak dependence', true, false, true, true, true, 'Politis-Romano 1992', 'O(B*n)', 'depends on block length'),
+('stationary_block', 'stationarity; weak dependence', true, false, true, true, true, 'Politis-Romano 1994', 'O(B*n)', 'depends on mean block length'),
+('non_overlapping_block', 'stationarity; weak dependence', true, false, true, true, true, 'Carlstein 1986', 'O(B*n)', 'more variance than overlapping blocks'),
+('tapered_block', 'stationarity; weak dependence', true, false, true, true, true, 'Paparoditis-Politis 2001', 'O(B*n)', 'depends on window and block length'),
+('residual', 'a well-specified model; exchangeable residuals', true, true, false, false, true, 'Freedman 1984; Bose 1988', 'O(B*n*p)', 'wrong model; unstable fit'),
+('sieve_ar', 'linear process', false, false, false, false, true, 'Buhlmann 1997', 'O(B*n*p)', 'non-linear or long-memory series'))
+t(name, assumptions, supports_multivariate, supports_exog, supports_indices, supports_oob, preserves_temporal_dependence, references_, complexity, failure_modes)""")
 def method_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata_frame(spark)
+    known = metadata_frame(spark).withColumnRenamed("references", "references_")
+    return known.withColumns({c: F.array_join(c, "; ") for c in ("assumptions", "references_", "failure_modes")})
 
 
 # ---- streams and indices ----------------------------------------------------------------------------------------------------
@@ -169,9 +179,9 @@ def _spread(source: str, by: str) -> str:
     return " UNION ALL ".join(f"SELECT * EXCLUDE (w0, w1, w2, w3, k4), CAST(k4 * 4 + {j} AS INTEGER) AS {by}, w{j} AS w FROM {source}" for j in range(4))
 
 
-def start_sql(top: str, factor: str = "1", length: int = LENGTH, b: int = B) -> str:
+def start_sql(top: str, factor: str = "1", length: int = LENGTH, b: int = B, source: str = S) -> str:
     """CTEs up to st (series_id, b, k, start, n): starts of blocks."""
-    return f"""{S}, {N},
+    return f"""{source}, {N},
 bl AS (SELECT *, least({length}, n) AS len FROM z),
 q AS (SELECT bl.*, b, k4 FROM bl, range({b}) r(b), range((SELECT max((n + len - 1) // len + 3) // 4 FROM bl)) k(k4) WHERE k4 * 4 < (n + len - 1) // len),
 {philox.sql("q", ["k4", "b", "slot", str(philox.BLOCK_START)], SEED)},
@@ -179,10 +189,10 @@ d AS ({_spread("ph", "k")}),
 st AS (SELECT series_id, b, k, n, len, CAST((w * ({top})::UBIGINT) >> 32 AS BIGINT) * ({factor}) AS start FROM d WHERE k < (n + len - 1) // len)"""
 
 
-def block_index_sql(top: str, factor: str = "1", wrap: bool = False) -> str:
+def block_index_sql(top: str, factor: str = "1", wrap: bool = False, length: int = LENGTH, **more: object) -> str:
     idx = "(start + o) % n" if wrap else "start + o"
-    return start_sql(top, factor) + f""",
-ix AS (SELECT series_id, CAST(b AS INTEGER) AS b, CAST(k * len + o AS INTEGER) AS t, CAST({idx} AS INTEGER) AS idx FROM st, range({LENGTH}) x(o) WHERE o < len AND k * len + o < n)"""
+    return start_sql(top, factor, length, **more) + f""",
+ix AS (SELECT series_id, CAST(b AS INTEGER) AS b, CAST(k * len + o AS INTEGER) AS t, CAST({idx} AS INTEGER) AS idx FROM st, range({length}) x(o) WHERE o < len AND k * len + o < n)"""
 
 
 _IID_IX = f"""{S}, {N}, q AS (SELECT z.*, b, k4 FROM z, range({B}) r(b), range((SELECT max(n) // 4 + 1 FROM z)) k(k4) WHERE k4 * 4 < n),
@@ -226,7 +236,8 @@ for _name, _method in METHODS.items():
 
 @query("moving_values", f"WITH {INDEX_SQL['moving']} SELECT ix.series_id, ix.b, ix.t, ix.idx, {r('s.v', 'v')} FROM ix JOIN s ON s.series_id = ix.series_id AND s.t = ix.idx")
 def moving_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return named(api.bootstrap_frame(panel(spark, sf_dir), MovingBlock(LENGTH), B, SEED).select("series_id", "b", "t", "idx", F.col("x")[0].alias("v")))
+    out = api.bootstrap(panel(spark, sf_dir), method=MovingBlock(LENGTH), n_bootstraps=B, random_state=SEED, stream="counter").frame
+    return named(out.select("series_id", "b", "t", "idx", F.col("x")[0].alias("v")))
 
 
 @query("block_sum_mean", f"WITH {INDEX_SQL['circular']} SELECT ix.series_id, ix.b, {r('avg(v)', 'theta')} FROM ix JOIN s ON s.series_id = ix.series_id AND s.t = ix.idx GROUP BY 1, 2")
@@ -245,14 +256,25 @@ def tapered_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reduced(TaperedBlock(LENGTH, window=_TAPER), "mean")(spark, sf_dir)
 
 
+LONG = 66  # about as long as the series: cut to the shorter ones
+
+
+@query("tapered_values", f"""WITH {block_index_sql("n - len + 1", length=LONG)}, m AS (SELECT series_id, avg(v) AS m, least(count(*), {LONG}) AS len FROM s GROUP BY 1),
+w AS (SELECT len, o, raw / sqrt(avg(raw * raw) OVER (PARTITION BY len)) AS w FROM (SELECT len, o, 0.5 - 0.5 * cos(2 * pi() * o / (len - 1)) AS raw FROM (SELECT DISTINCT len FROM m), range({LONG}) x(o) WHERE o < len))
+SELECT ix.series_id, ix.b, ix.t, ix.idx, {r('m + w * (v - m)', 'v')} FROM ix JOIN s ON s.series_id = ix.series_id AND s.t = ix.idx JOIN m ON m.series_id = ix.series_id JOIN w ON w.len = m.len AND w.o = ix.t % m.len""")
+def tapered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = api.bootstrap_frame(panel(spark, sf_dir), TaperedBlock(LONG, window=_TAPER), B, SEED)
+    return named(out.select("series_id", "b", "t", "idx", F.col("x")[0].alias("v")))
+
+
 @query("inbag_counts", f"WITH {INDEX_SQL['moving']}, c AS (SELECT series_id, b, idx, count(*) AS c FROM ix GROUP BY ALL) SELECT ix.series_id, ix.b, ix.t, CAST(coalesce(c, 0) AS BIGINT) AS n_inbag FROM ix LEFT JOIN c ON c.series_id = ix.series_id AND c.b = ix.b AND c.idx = ix.t")
 def inbag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.inbag_counts(_indices(MovingBlock(LENGTH))(spark, sf_dir))
+    return api.bootstrap(panel(spark, sf_dir), method=MovingBlock(LENGTH), n_bootstraps=B, random_state=SEED, stream="counter").inbag_counts()
 
 
-@query("oob_mask", f"WITH {INDEX_SQL['iid']} SELECT series_id, b, t FROM ix WHERE NOT EXISTS (SELECT 1 FROM ix o WHERE o.series_id = ix.series_id AND o.b = ix.b AND o.idx = ix.t)")
+@query("oob_mask", f"WITH {INDEX_SQL['iid']} SELECT series_id, b, t FROM ix EXCEPT SELECT series_id, b, idx FROM ix")
 def oob_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.out_of_bag(_indices(IID())(spark, sf_dir))
+    return api.bootstrap(panel(spark, sf_dir), method=IID(), n_bootstraps=B, random_state=SEED, stream="counter").out_of_bag()
 
 
 @query("replicate_quantiles", f"WITH {INDEX_SQL['moving']}, h AS (SELECT ix.series_id, ix.b, avg(v) AS theta FROM ix JOIN s ON s.series_id = ix.series_id AND s.t = ix.idx GROUP BY 1, 2) SELECT series_id, {r('quantile_cont(theta, 0.1)', 'q10')}, {r('quantile_cont(theta, 0.9)', 'q90')} FROM h GROUP BY 1")
@@ -278,7 +300,35 @@ h AS (SELECT series_id, b, avg(v) AS theta FROM rep GROUP BY 1, 2), p AS (SELECT
 qq AS (SELECT h.series_id, point, e0.se, quantile_cont((theta - point) / e.se, {ALPHA / 2}) AS lo, quantile_cont((theta - point) / e.se, {1 - ALPHA / 2}) AS hi FROM h JOIN e ON e.series_id = h.series_id AND e.b = h.b JOIN e0 ON e0.series_id = h.series_id JOIN p ON p.series_id = h.series_id GROUP BY 1, 2, 3)
 SELECT series_id, {r('point - hi * se', 'lower')}, {r('point - lo * se', 'upper')}, {r('point', 'point')} FROM qq"""
 query("ci_studentized", _STUDENT)(_interval("studentized", MovingBlock(LENGTH), se_block_length=LENGTH))
-query("ci_bca")(_interval("bca", IID()))
+
+
+def normal_sql(x: str) -> str:
+    """The normal distribution function: its density times the series of x^(2k+1) / (2k+1)!!."""
+    return f"(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * sign({x}) * list_sum(list_transform(range(150), lambda k: pow(abs({x}), 2 * k + 1) * exp(k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))))"
+
+
+_NEWTON = ",\n".join(f"n{i} AS (SELECT * REPLACE (z - ({normal_sql('z')} - share) / (exp(-z * z / 2) / sqrt(2 * pi())) AS z) FROM n{i - 1})" for i in range(1, 13))
+_BCA_LEVEL = "z + ({a}::DOUBLE + z) / (1 - acceleration * ({a}::DOUBLE + z))"
+_LOW, _HIGH = (normal_sql(_BCA_LEVEL.format(a=repr(intervals.NORMAL.inv_cdf(x)))) for x in (ALPHA / 2, 1 - ALPHA / 2))
+_AT = "th[CAST(floor({l} * (len(th) - 1)) AS INTEGER) + 1] + (th[least(CAST(floor({l} * (len(th) - 1)) AS INTEGER) + 2, len(th))] - th[CAST(floor({l} * (len(th) - 1)) AS INTEGER) + 1]) * ({l} * (len(th) - 1) - floor({l} * (len(th) - 1)))"
+query("ci_bca", f"""WITH {INDEX_SQL['iid']}, h AS (SELECT ix.series_id, ix.b, avg(v) AS theta FROM ix JOIN s ON s.series_id = ix.series_id AND s.t = ix.idx GROUP BY 1, 2),
+p AS (SELECT series_id, avg(v) AS point FROM s GROUP BY 1),
+dv AS (SELECT series_id, (v - avg(v) OVER (PARTITION BY series_id)) / (count(*) OVER (PARTITION BY series_id) - 1) AS dv FROM s),
+ac AS (SELECT series_id, CASE WHEN sum(dv * dv) > 0 THEN sum(dv * dv * dv) / (6 * pow(sum(dv * dv), 1.5)) ELSE 0.0 END AS acceleration FROM dv GROUP BY 1),
+n0 AS (SELECT h.series_id, any_value(point) AS point, avg(CASE WHEN theta < point THEN 1.0 WHEN theta = point THEN 0.5 ELSE 0.0 END) AS share, list_sort(list(theta)) AS th, any_value(acceleration) AS acceleration, 0.0::DOUBLE AS z FROM h JOIN p ON p.series_id = h.series_id JOIN ac ON ac.series_id = h.series_id GROUP BY 1),
+{_NEWTON}, lv AS (SELECT series_id, point, th, {_LOW} AS lo, {_HIGH} AS hi FROM n12)
+SELECT series_id, {r(_AT.format(l='lo'), 'lower')}, {r(_AT.format(l='hi'), 'upper')}, {r('point', 'point')} FROM lv""")(_interval("bca", IID()))
+
+
+@query("ci_columns", f"""WITH {INDEX_SQL['circular']}, l AS (SELECT series_id, t, dim, CASE dim WHEN 0 THEN v ELSE v * v END AS v FROM s, range(2) d(dim)),
+h AS (SELECT ix.series_id, ix.b, dim, quantile_cont(l.v, 0.5) AS theta FROM ix JOIN l ON l.series_id = ix.series_id AND l.t = ix.idx GROUP BY 1, 2, 3),
+p AS (SELECT series_id, dim, quantile_cont(v, 0.5) AS point FROM l GROUP BY 1, 2)
+SELECT h.series_id, CAST(h.dim AS INTEGER) AS dim, {r(f'quantile_cont(theta, {ALPHA / 2})', 'lower')}, {r(f'quantile_cont(theta, {1 - ALPHA / 2})', 'upper')}, {r('any_value(point)', 'point')} FROM h JOIN p ON p.series_id = h.series_id AND p.dim = h.dim GROUP BY 1, 2""")
+def ci_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median intervals of two columns side by side, the value and its square: a row for each."""
+    events = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("v")).withColumn("square", F.col("v") * F.col("v"))
+    series = from_frame(events, ["v", "square"], order=["ts", "event_id"], series="user_id", check=False)
+    return named(api.conf_int_panel(series, "median", method=CircularBlock(LENGTH), alpha=ALPHA, n_bootstraps=B, seed=SEED))
 
 
 @query("block_jackknife_se", f"WITH {S}, e AS ({_BJ.format(k='series_id', f='s', n=LENGTH)}) SELECT series_id, {r('se', 'se')} FROM e")
@@ -329,10 +379,13 @@ def forecast_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(forecast_frame(panel(spark, sf_dir), AR(), 4, B, ALPHA, SEED))
 
 
-def _paths(method: MethodSpec, b: int = 20, source: Callable[[SparkSession, str], SeriesFrame] = panel) -> Query:
+PATHS = 20
+
+
+def _paths(method: MethodSpec, b: int = PATHS, source: Callable[[SparkSession, str], SeriesFrame] = panel) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = api.bootstrap(source(spark, d), method=method, n_bootstraps=b, random_state=SEED).frame
-        return out.select("series_id", "b", "t", "x", "status")
+        out = api.bootstrap(source(spark, d), method=method, n_bootstraps=b, random_state=SEED, stream="counter").frame
+        return named(out.select("series_id", "b", "t", F.posexplode("x").alias("dim", "v")))
 
     return run
 
@@ -343,11 +396,83 @@ def hourly(spark: SparkSession, sf_dir: str) -> SeriesFrame:
     return from_frame(wide, ["click", "view", "purchase"], order="hour", check=False)
 
 
-query("ar1_residual_paths")(_paths(ResidualBootstrap(AR())))
-query("ar1_wild_paths")(_paths(ResidualBootstrap(AR(), Wild("mammen"))))
-query("ar1_block_wild_paths")(_paths(ResidualBootstrap(AR(), BlockWild("rademacher", 4))))
-query("sieve_paths")(_paths(SieveAR(max_lag=4)))
-query("var_paths")(_paths(ResidualBootstrap(VAR(order=2)), 50, hourly))
+def ols_sql(name: str, source: str, ys: list[str], xs: list[str]) -> str:
+    """CTEs up to {name}: the rows of source with, for each y, least-squares residuals e_{y} and the series' c_{y} and b_{y}_{x}.
+
+    Columns are centred and made orthogonal one after the other (Gram and Schmidt), by sums over each series; the
+    coefficients follow by substitution from the last one back. s{j}_{y}: the sum of squares left after the first j of xs.
+    """
+    w = "(PARTITION BY series_id)"
+    parts = [f"{name}_0 AS (SELECT *, {', '.join(f'avg({c}) OVER {w} AS m_{c}, {c} - avg({c}) OVER {w} AS z_{c}' for c in ys + xs)} FROM {source})"]
+    for j, x in enumerate(xs):
+        rest = xs[j + 1 :] + ys
+        parts.append(f"{name}_{j}r AS (SELECT *, {', '.join(f'sum(z_{x} * z_{c}) OVER {w} / sum(z_{x} * z_{x}) OVER {w} AS r_{x}_{c}' for c in rest)} FROM {name}_{j})")
+        parts.append(f"{name}_{j + 1} AS (SELECT * REPLACE ({', '.join(f'z_{c} - r_{x}_{c} * z_{x} AS z_{c}' for c in rest)}), {', '.join(f'sum((z_{y} - r_{x}_{y} * z_{x}) * (z_{y} - r_{x}_{y} * z_{x})) OVER {w} AS s{j + 1}_{y}' for y in ys)} FROM {name}_{j}r)")
+    last = f"{name}_{len(xs)}"
+    for j, x in reversed(list(enumerate(xs))):
+        later = "".join(f" - r_{x}_{o} * b_{{y}}_{o}" for o in xs[j + 1 :])
+        parts.append(f"{name}_{j}b AS (SELECT *, {', '.join(f'r_{x}_{y}{later.format(y=y)} AS b_{y}_{x}' for y in ys)} FROM {last})")
+        last = f"{name}_{j}b"
+    parts.append(f"{name} AS (SELECT *, {', '.join(f'z_{y} AS e_{y}, m_{y}' + ''.join(f' - b_{y}_{x} * m_{x}' for x in xs) + f' AS c_{y}' for y in ys)} FROM {last})")
+    return ",\n".join(parts)
+
+
+_STEPS = """z AS (SELECT series_id, slot, count(*) - 1 AS m FROM s GROUP BY 1, 2),
+q AS (SELECT z.*, b, k4 FROM z, range({b}) r(b), range((SELECT max(m) // 4 + 1 FROM z)) k(k4) WHERE k4 * 4 < m)"""
+_AR1_E = f"{_AR1}, e0 AS (SELECT l.series_id, l.t - 1 AS i, v - const - phi * p AS e FROM l JOIN f ON f.series_id = l.series_id WHERE p IS NOT NULL), e AS (SELECT series_id, i, e - avg(e) OVER (PARTITION BY series_id) AS e FROM e0)"
+
+
+def ar1_paths_sql(purpose: int, innovation: str) -> str:
+    """Paths of an AR(1) from each series' first value; innovation: CTE nu (series_id, b, t from 1, e) of the draws d (h, w, m)."""
+    return f"""WITH RECURSIVE {_AR1_E}, {_STEPS.format(b=PATHS)},
+{philox.sql("q", ["k4", "b", "slot", str(purpose)], SEED)}, d AS ({_spread("ph", "h")}),
+nu AS ({innovation}),
+x AS (SELECT s.series_id, b, 0 AS t, v AS y FROM s, range({PATHS}) r(b) WHERE s.t = 0
+  UNION ALL SELECT x.series_id, x.b, x.t + 1, const + phi * x.y + nu.e FROM x JOIN nu ON nu.series_id = x.series_id AND nu.b = x.b AND nu.t = x.t + 1 JOIN f ON f.series_id = x.series_id)
+SELECT series_id, CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t, 0 AS dim, {r('y', 'v')} FROM x"""
+
+
+_MAMMEN = f"CASE WHEN (w + 0.5::DOUBLE) * pow(2.0::DOUBLE, -32) < {models.MAMMEN_P!r}::DOUBLE THEN {models.MAMMEN_LOW!r}::DOUBLE ELSE {models.MAMMEN_HIGH!r}::DOUBLE END"
+query("ar1_residual_paths", ar1_paths_sql(philox.RESIDUAL, "SELECT d.series_id, b, h + 1 AS t, e FROM d JOIN e ON e.series_id = d.series_id AND e.i = CAST((d.w * d.m::UBIGINT) >> 32 AS BIGINT) WHERE h < m"))(_paths(ResidualBootstrap(AR())))
+query("ar1_wild_paths", ar1_paths_sql(philox.MULTIPLIER, f"SELECT d.series_id, b, h + 1 AS t, e * {_MAMMEN} AS e FROM d JOIN e ON e.series_id = d.series_id AND e.i = h"))(_paths(ResidualBootstrap(AR(), Wild("mammen"))))
+query("ar1_block_wild_paths", ar1_paths_sql(philox.MULTIPLIER, "SELECT e.series_id, b, i + 1 AS t, e * (CAST(w >> 31 AS DOUBLE) * 2 - 1) AS e FROM d JOIN e ON e.series_id = d.series_id AND e.i // 4 = d.h"))(_paths(ResidualBootstrap(AR(), BlockWild("rademacher", 4))))
+
+SIEVE = 4  # most lags
+_LAGS = [f"p{j}" for j in range(1, SIEVE + 1)]
+_SIEVE_FITS = ",\n".join(f"i{k} AS (SELECT series_id, t, v, {', '.join(_LAGS[:k])} FROM l WHERE t >= {k}),\n" + ols_sql(f"o{k}", f"i{k}", ["v"], _LAGS[:k]) for k in range(1, SIEVE + 1))
+_BIC = " UNION ALL ".join(f"SELECT DISTINCT series_id, {k} AS k, n * ln(greatest(s{k}_v / n, 1e-300)) + ln(n) * {k + 1} AS bic FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM oc)" for k in range(1, SIEVE + 1))
+_SIEVE = f"""WITH RECURSIVE {S}, l AS (SELECT *, {', '.join(f'lag(v, {j}) OVER (PARTITION BY series_id ORDER BY t) AS p{j}' for j in range(1, SIEVE + 1))} FROM s),
+ic AS (SELECT * FROM l WHERE t >= {SIEVE}), {ols_sql("oc", "ic", ["v"], _LAGS)},
+bic AS ({_BIC}), pick AS (SELECT series_id, min_by(k, (bic, k)) AS p FROM bic GROUP BY 1),
+{_SIEVE_FITS},
+every AS ({" UNION ALL ".join(f"SELECT series_id, {k} AS k, t - {k} AS i, c_v, {', '.join(f'b_v_p{j}' if j <= k else f'0.0::DOUBLE AS b_v_p{j}' for j in range(1, SIEVE + 1))}, e_v FROM o{k}" for k in range(1, SIEVE + 1))}),
+fit AS (SELECT every.*, p FROM every JOIN pick ON pick.series_id = every.series_id AND every.k = p),
+f AS (SELECT DISTINCT series_id, p, c_v, {', '.join(f'b_v_p{j}' for j in range(1, SIEVE + 1))} FROM fit),
+z AS (SELECT s.series_id, slot, p, count(*) - p AS m FROM s JOIN pick ON pick.series_id = s.series_id GROUP BY 1, 2, 3),
+q AS (SELECT z.*, b, k4 FROM z, range({PATHS}) r(b), range((SELECT max(m) // 4 + 1 FROM z)) k(k4) WHERE k4 * 4 < m),
+{philox.sql("q", ["k4", "b", "slot", str(philox.RESIDUAL)], SEED)}, d AS ({_spread("ph", "h")}),
+nu AS (SELECT d.series_id, b, h + d.p AS t, e_v AS e FROM d JOIN fit ON fit.series_id = d.series_id AND fit.i = CAST((d.w * d.m::UBIGINT) >> 32 AS BIGINT) WHERE h < m),
+x AS (SELECT s.series_id, b, s.t, v AS y1, {', '.join(f'coalesce(p{j - 1}, 0.0) AS y{j}' for j in range(2, SIEVE + 1))} FROM l s JOIN f ON f.series_id = s.series_id, range({PATHS}) r(b) WHERE s.t = p - 1
+  UNION ALL SELECT x.series_id, x.b, x.t + 1, c_v + {' + '.join(f'b_v_p{j} * y{j}' for j in range(1, SIEVE + 1))} + nu.e, {', '.join(f'y{j - 1}' for j in range(2, SIEVE + 1))} FROM x JOIN nu ON nu.series_id = x.series_id AND nu.b = x.b AND nu.t = x.t + 1 JOIN f ON f.series_id = x.series_id),
+own AS (SELECT s.series_id, b, s.t, v AS y1 FROM s JOIN f ON f.series_id = s.series_id, range({PATHS}) r(b) WHERE s.t < p - 1 UNION ALL SELECT series_id, b, t, y1 FROM x)
+SELECT series_id, CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t, 0 AS dim, {r('y1', 'v')} FROM own"""
+query("sieve_paths", _SIEVE)(_paths(SieveAR(max_lag=SIEVE)))
+
+_Y, _YLAGS = ["v0", "v1", "v2"], [f"{v}_{j}" for j in (1, 2) for v in ("v0", "v1", "v2")]
+_VAR = f"""WITH RECURSIVE h AS (SELECT date_trunc('hour', ts) AS hour, {', '.join(f"CAST(count(*) FILTER (event_type = '{e}') AS DOUBLE) AS v{i}" for i, e in enumerate(("click", "view", "purchase")))} FROM events GROUP BY 1),
+s AS (SELECT 0::BIGINT AS series_id, 0::BIGINT AS slot, row_number() OVER (ORDER BY hour) - 1 AS t, v0, v1, v2 FROM h),
+l AS (SELECT *, {', '.join(f'lag({v}, {j}) OVER (ORDER BY t) AS {v}_{j}' for j in (1, 2) for v in _Y)} FROM s), li AS (SELECT * FROM l WHERE t >= 2),
+{ols_sql("o", "li", _Y, _YLAGS)},
+f AS (SELECT DISTINCT {', '.join([f'c_{v}' for v in _Y] + [f'b_{v}_{x}' for v in _Y for x in _YLAGS])} FROM o),
+z AS (SELECT series_id, slot, count(*) - 2 AS m FROM s GROUP BY 1, 2),
+q AS (SELECT z.*, b, k4 FROM z, range(50) r(b), range((SELECT max(m) // 4 + 1 FROM z)) k(k4) WHERE k4 * 4 < m),
+{philox.sql("q", ["k4", "b", "slot", str(philox.RESIDUAL)], SEED)}, d AS ({_spread("ph", "h")}),
+nu AS (SELECT b, h + 2 AS t, e_v0, e_v1, e_v2 FROM d JOIN o ON o.t - 2 = CAST((d.w * d.m::UBIGINT) >> 32 AS BIGINT) WHERE h < m),
+x AS (SELECT b, t, {', '.join(_Y)}, {', '.join(f'{v}_1 AS {v}_p' for v in _Y)} FROM l, range(50) r(b) WHERE t = 1
+  UNION ALL SELECT x.b, x.t + 1, {', '.join(f'c_{v} + e_{v} + ' + ' + '.join([f'b_{v}_{y}_1 * x.{y}' for y in _Y] + [f'b_{v}_{y}_2 * x.{y}_p' for y in _Y]) for v in _Y)}, {', '.join(f'x.{v}' for v in _Y)} FROM x JOIN nu ON nu.b = x.b AND nu.t = x.t + 1, f),
+own AS (SELECT b, t, v0, v1, v2 FROM s, range(50) r(b) WHERE t = 0 UNION ALL SELECT b, t, v0, v1, v2 FROM x)
+SELECT 0::BIGINT AS series_id, CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t, CAST(dim AS INTEGER) AS dim, {r('v', 'v')} FROM (SELECT b, t, unnest([0, 1, 2]) AS dim, unnest([v0, v1, v2]) AS v FROM own)"""
+query("var_paths", _VAR)(_paths(ResidualBootstrap(VAR(order=2)), 50, hourly))
 
 
 @query("arima_paths")
@@ -395,15 +520,56 @@ def aci_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(conformal.aci_frame(rows.where("pos < 20"), rows.where("pos >= 20"), ALPHA, 0.05), "series_id", "pos", "level")
 
 
-@query("agaci_bounds")
+GAMMAS = (0.0, 0.01, 0.05)
+_K = range(len(GAMMAS))
+
+
+def _width_sql(level: str) -> str:
+    """The calibration scores' quantile at 1 - level; cs is sorted."""
+    h = f"((1 - {level}) * (len(cs) - 1))"
+    at = f"CAST(floor({h}) AS INTEGER)"
+    return f"CASE WHEN {level} <= 0 THEN 'inf'::DOUBLE WHEN {level} >= 1 THEN 0.0::DOUBLE ELSE cs[{at} + 1] + (cs[least({at} + 2, len(cs))] - cs[{at} + 1]) * ({h} - floor({h})) END"
+
+
+def _each(pattern: str, between: str = ", ") -> str:
+    return between.join(pattern.format(k=k) for k in _K)
+
+
+_AGACI = f"""WITH RECURSIVE {_R}, c AS (SELECT series_id, list(abs(r) ORDER BY abs(r)) FILTER (pos < 20) AS cs, list(r ORDER BY pos) FILTER (pos >= 20) AS line FROM e GROUP BY 1),
+lv AS (SELECT series_id, cs, line, 1 AS i, {', '.join(f'CAST({ALPHA} AS DOUBLE) AS l{k}' for k in _K)} FROM c WHERE len(line) > 0
+  UNION ALL SELECT series_id, cs, line, i + 1, {', '.join(f'l{k} + {g}::DOUBLE * ({ALPHA}::DOUBLE - CASE WHEN abs(line[i]) > {_width_sql(f"l{k}")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)' for k, g in enumerate(GAMMAS))} FROM lv WHERE i < len(line)),
+w AS (SELECT series_id, i, line[i] AS seen, {', '.join(f'{_width_sql(f"l{k}")} AS w{k}' for k in _K)} FROM lv),
+sc AS (SELECT series_id, 10 * greatest({_each("coalesce(max(w{k}) FILTER (isfinite(w{k})), 0.0)")}, max(abs(seen))) AS top FROM w GROUP BY 1),
+x AS (SELECT w.series_id, side, i, seen, CASE side WHEN -1 THEN {ALPHA / 2}::DOUBLE ELSE {1 - ALPHA / 2}::DOUBLE END AS tau, {_each("side * CASE WHEN isfinite(w{k}) THEN w{k} ELSE top END AS o{k}")} FROM w JOIN sc ON sc.series_id = w.series_id, (VALUES (-1), (1)) d(side)),
+boa AS (SELECT series_id, side, 0 AS i, 0.0::DOUBLE AS given, {_each("0.0::DOUBLE AS r{k}, 0.0::DOUBLE AS e{k}")} FROM c, (VALUES (-1), (1)) d(side) WHERE len(line) > 0
+  UNION ALL SELECT series_id, side, i, given, {_each("r{k} + CASE WHEN n{k} > 0 THEN g{k} - g{k} * g{k} / sqrt(n{k}) ELSE 0.0 END, n{k}")}
+  FROM (SELECT *, {_each("e{k} + 2.2::DOUBLE * g{k} * g{k} AS n{k}")}
+  FROM (SELECT *, {_each("(CASE WHEN seen < given THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - tau) * (given - o{k}) AS g{k}")}
+  FROM (SELECT *, ({_each("o{k} * m{k}", " + ")}) / ({_each("m{k}", " + ")}) AS given
+  FROM (SELECT *, {_each(f"CASE WHEN e{{k}} > 0 THEN ({_each('(e{k} > 0)::INTEGER', ' + ')}) * h{{k}} / ({_each('h{k}', ' + ')}) ELSE 1.0::DOUBLE END AS m{{k}}")}
+  FROM (SELECT *, {_each("CASE WHEN e{k} > 0 THEN exp(a{k} - greatest(" + _each("a{k}") + ")) ELSE 0.0 END AS h{k}")}
+  FROM (SELECT x.*, {_each("r{k}, e{k}, CASE WHEN e{k} > 0 THEN r{k} / sqrt(e{k}) - 0.5 * ln(e{k}) ELSE '-inf'::DOUBLE END AS a{k}")} FROM boa JOIN x ON x.series_id = boa.series_id AND x.side = boa.side AND x.i = boa.i + 1)))))))
+SELECT series_id, CAST(i + 19 AS INTEGER) AS pos, {r("-max(given) FILTER (side = -1)", "lower")}, {r("max(given) FILTER (side = 1)", "upper")} FROM boa WHERE i > 0 GROUP BY 1, 2"""
+
+
+@query("agaci_bounds", _AGACI)
 def agaci_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = residual_rows(spark, sf_dir)
-    return conformal.agaci_frame(rows.where("pos < 20"), rows.where("pos >= 20"), ALPHA, AgACI(gammas=(0.0, 0.01, 0.05), require_signed=False))
+    return named(conformal.agaci_frame(rows.where("pos < 20"), rows.where("pos >= 20"), ALPHA, AgACI(gammas=GAMMAS, require_signed=False)))
+
+
+_LAGGED = S.replace("s AS", "s0 AS", 1) + ", s AS (SELECT series_id, slot, CAST(t - 1 AS INTEGER) AS t, v, p FROM (SELECT *, lag(v) OVER (PARTITION BY series_id ORDER BY t) AS p FROM s0) WHERE p IS NOT NULL)"
+_ENSEMBLE = f"""WITH {block_index_sql("n - len + 1", b=20, source=_LAGGED)},
+f AS (SELECT ix.series_id, ix.b, regr_intercept(v, p) AS c, regr_slope(v, p) AS k FROM ix JOIN s ON s.series_id = ix.series_id AND s.t = ix.idx GROUP BY 1, 2),
+o AS (SELECT series_id, b, t FROM ix EXCEPT SELECT series_id, b, idx FROM ix),
+g AS (SELECT s.series_id, s.t, any_value(v) AS v, avg(c + k * p) AS pred FROM o JOIN s ON s.series_id = o.series_id AND s.t = o.t JOIN f ON f.series_id = o.series_id AND f.b = o.b GROUP BY 1, 2),
+w AS (SELECT series_id, quantile_cont(abs(v - pred), {1 - ALPHA}) AS w FROM g GROUP BY 1)
+SELECT g.series_id, t, {r('pred - w', 'lower')}, {r('pred + w', 'upper')}, {r('pred', 'point')} FROM g JOIN w ON w.series_id = g.series_id"""
 
 
-@query("enbpi_intervals")
+@query("enbpi_intervals", _ENSEMBLE)
 def enbpi_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = panel(spark, sf_dir).scalar()
     lag = F.lag("v").over(Window.partitionBy("series_id").orderBy("t"))
     rows = s.select("series_id", "slot", "t", F.col("v").alias("y"), lag.alias("p")).where("p is not null").select("series_id", "slot", (F.col("t") - 1).alias("t"), "y", F.array("p").alias("z"))
-    return conformal.intervals(conformal.fit_ensemble(rows, MovingBlock(LENGTH), 20, SEED), ALPHA)
+    return named(conformal.intervals(conformal.fit_ensemble(rows, MovingBlock(LENGTH), 20, SEED), ALPHA))

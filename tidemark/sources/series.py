@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,23 @@ def slot_of(series_id: Column, kind: str) -> Column:
 
 @dataclass(frozen=True)
 class SeriesFrame:
-    """rows: series_id, slot, t, x (array<double>); width: columns of x; was_1d: x stands for a plain number."""
+    """rows: series_id, slot, t, x (array<double>); width: columns of x; was_1d: x stands for a plain number.
+
+    known: (series, shortest, longest), where a check has counted them already.
+    """
 
     rows: DataFrame
     width: int
     was_1d: bool
+    known: tuple[int, int, int] | None = None
+
+    @cached_property
+    def extent(self) -> tuple[int, int, int]:
+        """(series, shortest, longest): one aggregate pass at most, however often it is asked."""
+        if self.known is not None:
+            return self.known
+        found = self.sizes().agg(F.count("*"), F.min("n"), F.max("n")).first()
+        return found[0], found[1] or 0, found[2] or 0
 
     def scalar(self) -> DataFrame:
         """series_id, slot, t, v; the first column of x."""
@@ -74,14 +87,16 @@ def from_frame(df: DataFrame, values: str | Sequence[str], *, order: str | Seque
     rows = df.select(key.alias("series_id"), slot.alias("slot"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], x.alias("x"))
     rank = Window.partitionBy("series_id").orderBy(*[f"_o{i}" for i in range(len(order))], "x")
     rows = rows.withColumn("t", (F.row_number().over(rank) - 1).cast("int")).select("series_id", "slot", "t", "x")
+    known = None
     if check:
         bad = F.count_if(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-        found = rows.groupBy("series_id").agg(F.count("*").alias("n"), bad.alias("bad")).agg(F.min("n"), F.sum("bad")).first()
+        found = rows.groupBy("series_id").agg(F.count("*").alias("n"), bad.alias("bad")).agg(F.min("n"), F.sum("bad"), F.max("n"), F.count("*")).first()
         if found[1]:
             raise InputDataError(f"{found[1]} rows hold a null, NaN or infinity", code=Codes.NONFINITE_INPUT, rows=found[1])
         if found[0] is None or found[0] < min_obs:
             raise InputDataError(f"a series has fewer than {min_obs} observations", code=Codes.TOO_FEW_OBSERVATIONS, shortest=found[0] or 0)
-    return SeriesFrame(rows, len(columns) + len(exog), len(columns) == 1 and not exog and isinstance(values, str))
+        known = found[3], found[0], found[2]
+    return SeriesFrame(rows, len(columns) + len(exog), len(columns) == 1 and not exog and isinstance(values, str), known)
 
 
 def to_matrix(X: object, name: str = "X", min_obs: int = MIN_OBSERVATIONS) -> tuple[np.ndarray, bool]:
@@ -140,7 +155,7 @@ def from_arrays(series: Sequence[np.ndarray], spark: SparkSession | None = None,
     ids = pa.array(np.repeat(np.arange(len(sizes)), sizes))
     t = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
     rows = spark.createDataFrame(pa.table({"series_id": ids, "slot": ids, "t": t, "x": x}), "series_id long, slot long, t int, x array<double>")
-    return SeriesFrame(rows, series[0].shape[1], was_1d)
+    return SeriesFrame(rows, series[0].shape[1], was_1d, (len(sizes), min(sizes), max(sizes)))
 
 
 def output_type(dtype: str) -> str:
