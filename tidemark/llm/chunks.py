@@ -97,7 +97,12 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept] for every row of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept] for every row of docs (doc_id, text).
+
+    Null text is empty, and an empty text has no chunk and stays empty. Of equal chunks the one of the smallest doc_id (null
+    first), then text key, then place stays. Rows that repeat both doc_id and text are one row to that rule and get the
+    same result. An empty table gives an empty one.
+    """
     return removal(docs, duplicate_spans(docs), with_text)
 
 

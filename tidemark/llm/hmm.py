@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, table
 from .spans import keyed
 
 STATES, ROUNDS, OWN, CLASSES, NEAR = 8, 3, 32_768, 256, 200_000
@@ -312,10 +312,11 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataF
     c = F.coalesce("c", F.lit(0))
     each = met.select("d", "k", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((c + 0.5) / float(model.train_tokens + 0.5 * (model.types + 1)))).alias("base"), (F.col("times") * F.log10((c + 0.5) / F.get(shares, F.col("class")))).alias("score"))
     sums = each.groupBy("d", "k").agg(*[F.sum(x).alias(f"far_{x}") for x in ("known", "base", "score")])
-    # rows that repeat both doc_id and text share one sum, which is divided among them
-    near = near.withColumn("rows", F.count("*").over(Window.partitionBy("doc_id", "key")))
-    out = near.join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    share = lambda x: F.coalesce(F.col(f"far_{x}") / F.col("rows"), F.lit(0))
+    # rows that repeat both doc_id and text share one sum, which is divided among them; a count a key, so no group meets in one place
+    again = rows.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "rows")
+    same = lambda df, o: df.join(o, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
+    out = same(same(near, bounded(cut(again))), sums)
+    share = lambda x: F.coalesce(F.col(f"far_{x}") / F.coalesce("rows", F.lit(1)), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + share("known")).cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), (F.col("base") + share("base")).alias("base_score"), (F.col("score") + share("score")).alias("score"))
 
 

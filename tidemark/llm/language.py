@@ -66,9 +66,12 @@ class TextModel:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
     """Fit the text model on labelled (doc_id, text, lang): the `sample` documents of the smallest hash of doc_id.
 
-    So that no label goes unseen, the sample // MOST_LANGUAGES smallest of each label come besides, over all rows. Null labels, ids and texts are left out; with no labelled row the model knows no language and every text is "und".
+    So that no label goes unseen, the sample // MOST_LANGUAGES smallest of each label come besides, over all rows. Null labels, ids and texts are left out; with no labelled row the model knows no language and every text is "und". More than MOST_LANGUAGES labels are an error, told
+    before anything is gathered.
     """
     rows = documents_only(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages among the labels")
     ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), F.lit(None).cast("string").alias("_lang"))
     by_label = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     ids = ids.union(by_label.where(F.col("_rank") <= max(1, sample // MOST_LANGUAGES)).select("doc_id", "lang"))
@@ -85,8 +88,6 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
 
     counts = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages among the labels")
     sums = np.full((len(languages), BUCKETS), SMOOTH)
     for k, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
@@ -197,7 +198,12 @@ def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
 
 
 def clean(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose language is one of those that labelled (doc_id, text, lang) knows."""
+    """The rows of docs, all columns, whose language is one of those that labelled (doc_id, text, lang) knows.
+
+    Texts that are null, empty or without a letter go; rows with a null doc_id or source are judged like any other; rows
+    that repeat another's doc_id and text share its fate, whatever their source says, if either is "und". An empty table
+    gives an empty one.
+    """
     d, k = unused(docs, "d", "k")
     found = identify_documents(docs, train(labelled)).where(F.col("lang") == UND).select(F.col("id").alias(d), F.col("key").alias(k)).distinct()
     return docs.join(bounded(cut(found)), F.col("doc_id").eqNullSafe(F.col(d)) & (text_key(F.col("text")) == F.col(k)), "left_anti")

@@ -178,7 +178,7 @@ def links(rows: DataFrame, found: DataFrame, nodes: DataFrame, shingle: int, see
 
     centres = bounded(under.select(F.col("b").alias("node"), F.col("a").alias("centre")))
     balls = bounded(cut(under.select(F.col("a").alias("ball"), F.lit(1).alias("radius")).distinct()))
-    placed = found.where("n > 0").join(centres, "node", "left").join(bounded(cut(nodes.where("copies > 1").select("node", "copies")), 1_000_000), "node", "left")
+    placed = found.where("n > 0").join(centres, "node", "left").join(bounded(cut(nodes.where("copies > 1").select("node", "copies"))), "node", "left")
     marks = placed.select(F.explode("prefix").alias("mark"), F.coalesce("centre", "node").alias("node"), (F.col("centre").isNotNull() | F.col("copies").isNotNull()).alias("many"))
     # what copies and members repeat is summed where it is read, and never meets in one place
     once = marks.where("not many").select("mark", "node").union(marks.where("many").select("mark", "node").distinct())
