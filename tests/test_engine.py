@@ -219,6 +219,18 @@ def test_registered_method(spark):
     tm.register_method(Flip, record, lambda spec, x, slot, first, count: np.repeat(-x[None], count, axis=0))
     np.testing.assert_allclose(tm.bootstrap_reduce(X, method=Flip(), statistic="mean", n_bootstraps=2, random_state=0).statistics, -X.mean())
 
+    @dataclass(frozen=True)
+    class Shift(tm.MethodSpec):
+        kind = "shift"
+
+    def reduce(spec, mean, slot, first, count, statistic):
+        return np.full((count, 1), mean + 100) if statistic.name == "mean" else None
+
+    tm.register_method(Shift, record, lambda spec, mean, slot, first, count: np.full((count, 60, 1), mean) + np.arange(first, first + count)[:, None, None], prepare=lambda spec, x, slot: x.mean(), reduce=reduce)
+    run = lambda s: tm.bootstrap_reduce(X, method=Shift(), statistic=s, n_bootstraps=3, random_state=0).statistics
+    np.testing.assert_allclose(run("median"), X.mean() + np.arange(3))
+    np.testing.assert_allclose(run("mean"), X.mean() + 100)
+
 
 def test_metadata(spark):
     run = tm.bootstrap(X, method=tm.MovingBlock(5), n_bootstraps=2, random_state=9)

@@ -6,16 +6,24 @@ import pytest
 import tidemark as tm
 
 
-def ar1(phi, n, seed):
-    e = np.random.default_rng(seed).standard_normal(n)
-    x = np.empty(n)
-    x[0] = e[0]
-    for t in range(1, n):
-        x[t] = phi * x[t - 1] + e[t]
-    return x
+def driven(shocks, move):
+    """x[t] = move x[t-1] + shocks[t], from rest; move: a number or a matrix."""
+    state, out = np.zeros(np.shape(shocks)[1:]), []
+    for shock in shocks:
+        state = np.dot(move, state) + shock
+        out.append(state)
+    return np.array(out)
 
 
-X = ar1(0.6, 40, 0)
+def normals(seed, *shape):
+    return np.random.default_rng(seed).standard_normal(shape)
+
+
+def after_rest(rows):
+    return np.vstack([np.zeros(rows.shape[1]), rows])
+
+
+X = driven(normals(0, 40), 0.6)
 INDEX_PINS = {
     "iid": (tm.IID(), [19, 36, 23, 36, 8, 35, 13, 12], [0.7791226231137061, -0.34283569625763266]),
     "moving": (tm.MovingBlock(5), [17, 18, 19, 20, 21, 33, 34, 35], [-1.4176918559818088, -0.43898457721495243]),
@@ -46,44 +54,30 @@ def test_ar_and_sieve(spark, method):
 
 
 def test_arima(spark):
-    y = np.cumsum(ar1(0.5, 41, 1))[:40]
+    y = np.cumsum(driven(normals(1, 41), 0.5))[:40]
     out = tm.bootstrap(y, method=tm.ResidualBootstrap(tm.ARIMA(order=(1, 1, 1))), n_bootstraps=3, random_state=42)
     # the first two are exact; the others depend on an optimiser
     np.testing.assert_allclose(out.values()[0, :5], [0.345584192064786, 1.3399944315983374, 1.6322306432743918, 0.9870484878739917, 1.5632683881209846], atol=1e-3)
 
 
-def var1(n, seed):
-    rng = np.random.default_rng(seed)
-    a = np.array([[0.5, 0.1], [0.2, 0.4]])
-    x = np.zeros((n, 2))
-    for t in range(1, n):
-        x[t] = a @ x[t - 1] + rng.standard_normal(2)
-    return x
-
-
 def test_var(spark):
-    out = tm.bootstrap(var1(40, 0), method=tm.ResidualBootstrap(tm.VAR()), n_bootstraps=3, random_state=42)
+    x = driven(after_rest(normals(0, 39, 2)), [[0.5, 0.1], [0.2, 0.4]])
+    out = tm.bootstrap(x, method=tm.ResidualBootstrap(tm.VAR()), n_bootstraps=3, random_state=42)
     np.testing.assert_allclose(out.values()[0, :3], [[0.0, 0.0], [0.8857745892917128, 1.4468454831411872], [0.5916210188810951, 1.4351448872853465]], atol=1e-12)
 
 
 def test_arx(spark):
-    rng = np.random.default_rng(0)
-    exog, e = rng.standard_normal((40, 1)), rng.standard_normal(40)
-    x = np.empty(40)
-    x[0] = e[0]
-    for t in range(1, 40):
-        x[t] = 0.5 * x[t - 1] + 2.0 * exog[t, 0] + e[t]
+    drawn = normals(0, 80)
+    exog, shocks = drawn[:40, None], drawn[40:]
+    x = driven(shocks + np.append(0, 2 * exog[1:, 0]), 0.5)
     out = tm.bootstrap(x, method=tm.ResidualBootstrap(tm.AR()), n_bootstraps=3, random_state=42, exog=exog)
     np.testing.assert_allclose(out.values()[0, :5], [-1.2590655321041202, -1.5971947009652947, -0.6212029906974876, -0.7766418885767343, -2.3083991888676922], atol=1e-12)
 
 
 def test_varx(spark):
-    rng = np.random.default_rng(0)
-    exog = rng.standard_normal((40, 1))
-    a, b = np.array([[0.4, 0.1], [0.05, 0.3]]), np.array([[1.2], [-1.5]])
-    x = np.zeros((40, 2))
-    for t in range(1, 40):
-        x[t] = a @ x[t - 1] + (b @ exog[t]) + rng.standard_normal(2)
+    drawn = normals(0, 118)
+    exog, shocks = drawn[:40, None], drawn[40:].reshape(39, 2)
+    x = driven(after_rest(shocks + exog[1:] * [1.2, -1.5]), [[0.4, 0.1], [0.05, 0.3]])
     out = tm.bootstrap(x, method=tm.ResidualBootstrap(tm.VAR()), n_bootstraps=3, random_state=42, exog=exog)
     np.testing.assert_allclose(out.values()[0, :3], [[0.0, 0.0], [-0.00015381519504510666, 2.009840764531376], [0.7751689164856954, -0.7901138586477876]], atol=1e-12)
 

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
-from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
+
+DIRECT = 64  # up to so many lags are multiplied out
 
 
 def autocovariances(x: np.ndarray, lags: int) -> np.ndarray:
     """R(0..lags), divided by n."""
     c = x - x.mean()
-    return np.array([c[: len(c) - k] @ c[k:] for k in range(lags + 1)]) / len(c)
+    if lags <= DIRECT:
+        return np.array([c[: len(c) - k] @ c[k:] for k in range(lags + 1)]) / len(c)
+    size = 1 << (len(c) + lags).bit_length()
+    return np.fft.irfft(np.abs(np.fft.rfft(c, size)) ** 2, size)[: lags + 1] / len(c)
 
 
 def flat_top(x: np.ndarray) -> np.ndarray:
@@ -72,61 +76,20 @@ def optimal_block_length(x: np.ndarray, kind: str = "circular") -> int:
     return int(min(max(math.ceil(longest), 1), len(x)))
 
 
-def _loose(kind: DataType) -> DataType:
-    """The type with every field of it nullable."""
-    return StructType([StructField(f.name, _loose(f.dataType)) for f in kind.fields]) if isinstance(kind, StructType) else kind
-
-
-def _kind(rows: DataFrame) -> StructType:
-    kinds = {"series_id": _loose(rows.schema["series_id"].dataType), "n": IntegerType(), "m": IntegerType(), "b_stationary": DoubleType(), "b_circular": DoubleType()}
-    return StructType([StructField(k, v) for k, v in kinds.items()])
-
-
-def _whole(series: pa.Table) -> pa.Table:
-    """One series (series_id, t, v) -> its row of block_lengths()."""
-    x = series.sort_by("t").column("v").to_numpy()
-    m, stationary, circular = tuned(x.astype(float))
-    first = series.column("series_id").slice(0, 1)
-    first = first.cast(to_arrow_type(_loose(from_arrow_type(first.type))))
-    return pa.table([first, pa.array([len(x)], pa.int32()), pa.array([m], pa.int32()), pa.array([stationary]), pa.array([circular])], ["series_id", "n", "m", "b_stationary", "b_circular"])
+def block_lengths(rows: DataFrame) -> DataFrame:
+    """rows (series_id, t, v) -> series_id, n, m, b_stationary, b_circular: tuned() of each series, whatever its length.
 
+    A series is packed into one array, and many arrays make one batch of a kernel; its autocovariances, of which the rule
+    asks for about sqrt(n), come from one Fourier transform where they are many, so the work is n log n and no row is
+    multiplied.
+    """
+    line = F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda s: s["v"].cast("double"))
+    id_type = rows.schema["series_id"].dataType.simpleString()
 
-def block_lengths(rows: DataFrame, max_lags: int = 400) -> DataFrame:
-    """rows (series_id, t, v) -> series_id, n, m, b_stationary, b_circular; with DataFrame functions up to max_lags.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            series = [x.values.to_numpy(zero_copy_only=False) for x in batch.column(1)]
+            found = [tuned(x) for x in series]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in series], pa.int32()), pa.array([f[0] for f in found], pa.int32()), *[pa.array([f[j] for f in found], pa.float64()) for j in (1, 2)]], ["series_id", "n", "m", "b_stationary", "b_circular"])
 
-    Lags are joined as windows over one ordering of each series. Series whose rule asks for more than max_lags (about
-    ceil(sqrt(n)) + 5; 400: series of over 156,000 observations) go whole through the kernel's tuned() instead, which
-    computes all of their lags.
-    """
-    of, order = Window.partitionBy("series_id"), Window.partitionBy("series_id").orderBy("t")
-    c = rows.withColumns({"n": F.count("*").over(of), "c": F.col("v") - F.avg("v").over(of)})
-    c = c.withColumns({"run": F.greatest(F.lit(5), F.sqrt(F.log10("n")).cast("int"))})
-    c = c.withColumn("most", F.least(F.ceil(F.sqrt("n")) + F.col("run"), F.col("n") - 1).cast("int"))
-    long = c.where(F.col("most") > max_lags).select("series_id", "t", "v").groupBy("series_id").applyInArrow(_whole, _kind(rows))
-    c = c.where(F.col("most") <= max_lags)
-    past = F.collect_list("c").over(order.rowsBetween(-max_lags, 0))
-    pairs = c.withColumn("past", past).select("series_id", "n", "run", "most", "c", F.posexplode(F.slice(F.reverse("past"), F.lit(1), F.col("most") + 1)).alias("k", "p"))
-    r = pairs.groupBy("series_id", "n", "run", "most", "k").agg((F.sum(F.col("c") * F.col("p")) / F.col("n")).alias("r"))
-    r0 = F.max(F.when(F.col("k") == 0, F.col("r"))).over(of)
-    limit = 2 * F.sqrt(F.log10("n") / F.col("n"))
-    r = r.withColumn("r0", r0).withColumn("loud", (F.col("k") > 0) & (F.col("r0") > 0) & (F.abs(F.col("r")) >= limit * F.col("r0")))
-    by_lag = Window.partitionBy("series_id").orderBy("k")
-    ahead = F.min(F.when(F.col("loud"), F.col("k"))).over(by_lag.rowsBetween(0, Window.unboundedFollowing))
-    r = r.withColumn("next", F.coalesce(ahead, F.lit(1 << 30)))
-    still = (F.col("k") > 0) & (F.col("next") >= F.col("k") + F.col("run")) & (F.col("k") + F.col("run") - 1 <= F.col("most"))
-    quiet = F.min(F.when(still, F.col("k"))).over(of)
-    last = F.max(F.when(F.col("loud"), F.col("k"))).over(of)
-    m = F.when(F.col("r0") <= 0, 1).otherwise(F.greatest(F.lit(1), F.least(2 * F.coalesce(quiet, last, F.lit(1)), F.col("most"))))
-    r = r.withColumn("m", m.cast("int")).where("k <= m")
-    a = F.col("k") / F.col("m")
-    w = F.when(a <= 0.5, 1.0).otherwise(2 * (1 - a)) * F.when(F.col("k") == 0, 1).otherwise(2)
-    sums = r.groupBy("series_id", "n", "m").agg(F.sum(w * F.col("k") * F.col("r")).alias("g"), F.sum(w * F.col("r")).alias("s"))
-    top = F.ceil(F.least(3 * F.sqrt("n"), F.col("n") / 3)).cast("double")
-
-    def length(scale: float):  # noqa: ANN202
-        d = scale * F.col("s") * F.col("s")
-        raw = F.cbrt(2 * F.col("g") * F.col("g") / F.nullif(d, F.lit(0.0))) * F.cbrt("n")
-        return F.when((F.col("n") < 4) | (d <= 0) | (F.abs("g") <= 1e-12), 1.0).otherwise(F.least(F.greatest(raw, F.lit(1.0)), top))
-
-    short = sums.select("series_id", F.col("n").cast("int").alias("n"), "m", length(2.0).alias("b_stationary"), length(4.0 / 3.0).alias("b_circular"))
-    return short.unionByName(long)
+    return rows.groupBy("series_id").agg(line.alias("x")).mapInArrow(run, f"series_id {id_type}, n int, m int, b_stationary double, b_circular double")

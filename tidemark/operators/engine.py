@@ -24,8 +24,25 @@ from .reduce import Statistic
 
 CELLS = 1 << 18  # values that a kernel holds at a time, about
 BATCH = 20_000  # statistics that go back to Spark at a time, or one series' if it has more
-#: Methods registered from outside: (spec, x, slot, first, count) -> values (count, n, d).
-CUSTOM: dict[type, Callable] = {}
+
+
+@dataclass(frozen=True)
+class Custom:
+    """A method registered from outside; prepared: what prepare makes of a series' values (n, d), once, or the values themselves.
+
+    replicate: (spec, prepared, slot, first, count) -> values (count, n, d). reduce: (spec, prepared, slot, first, count,
+    statistic) -> statistics (count, k), or None to have replicates made and reduced as usual.
+    """
+
+    replicate: Callable
+    prepare: Callable | None = None  # (spec, x, slot) -> anything; a ModelStabilityError is treated as that of a model
+    reduce: Callable | None = None
+
+    def prepared(self, spec: MethodSpec, x: np.ndarray, slot: int) -> object:
+        return x if self.prepare is None else self.prepare(spec, x, slot)
+
+
+CUSTOM: dict[type, Custom] = {}
 
 
 @dataclass(frozen=True)
@@ -41,7 +58,7 @@ class Job:
     exog: int = 0
     was_1d: bool = True
     clamp: bool = True  # blocks longer than a series are cut to it; else an error
-    custom: Callable | None = None
+    custom: Custom | None = None
 
     def root(self, slot: int) -> np.random.SeedSequence:
         entropy, key, spawned = self.entropy
@@ -84,8 +101,9 @@ def chunks_of(job: Job, x: np.ndarray, slot: int, first: int, count: int) -> Ite
     size = max(1, CELLS // max(1, x.size))
     values, exog = (x[:, : x.shape[1] - job.exog], x[:, x.shape[1] - job.exog :]) if job.exog else (x, None)
     if job.custom:
+        ready = job.custom.prepared(job.method, x, slot)
         for b in range(first, first + count, size):
-            yield b, np.asarray(job.custom(job.method, x, slot, b, min(size, first + count - b)), float).reshape(min(size, first + count - b), len(x), -1), None
+            yield b, np.asarray(job.custom.replicate(job.method, ready, slot, b, min(size, first + count - b)), float).reshape(min(size, first + count - b), len(x), -1), None
         return
     if isinstance(job.method, OBSERVATION_METHODS):
         if exog is not None:
@@ -154,6 +172,10 @@ def moments_by_steps(job: Job, statistic: Statistic, x: np.ndarray, slot: int, f
 
 def statistics_of(job: Job, statistic: Statistic, x: np.ndarray, slot: int, first: int, count: int) -> np.ndarray:
     """(count, k) statistics of replicates, values held by chunks only."""
+    if job.custom and job.custom.reduce:
+        own = job.custom.reduce(job.method, job.custom.prepared(job.method, x, slot), slot, first, count, statistic)
+        if own is not None:
+            return np.asarray(own, float).reshape(count, -1)
     if statistic.name == "mean" and job.stream == "counter" and isinstance(job.method, StationaryBlock):
         return means_by_segments(job, x, slot, first, count)
     fast = statistic.name == "mean" and job.stream == "counter" and isinstance(job.method, OBSERVATION_METHODS) and not isinstance(job.method, (IID, StationaryBlock, TaperedBlock))

@@ -68,25 +68,41 @@ def reduce_frame(replicates: DataFrame, statistic: Statistic) -> DataFrame:
     return long.groupBy("series_id", "b", "dim").agg(statistic.column(F.col("v")).alias("theta"))
 
 
+PIECE = 1 << 16  # observations in a piece of a series
+
+
 def block_sum_means(rows: DataFrame, starts: DataFrame, method: MethodSpec) -> DataFrame:
-    """(series_id, b, theta): means of block replicates without gathering them.
+    """(series_id, b, theta): means of block replicates without gathering them; no series is ever in one row or task.
 
     rows (series_id, t, v), starts (series_id, b, k, start, n, length). A block's sum is a difference of two prefix sums, so
-    two look-ups a block take the place of one per value; the last block is cut to what is left of n.
+    two look-ups a block take the place of one per value; the last block is cut to what is left of n. Prefix sums are kept
+    by pieces of a series: sums within the piece, and what all earlier pieces add up to. Look-ups meet pieces in a plain
+    join on (series, piece), which neither a long series nor a short one makes uneven, and are summed where they meet.
     """
-    of = Window.partitionBy("series_id")
-    centred = rows.withColumn("mean", F.avg("v").over(of))
-    upto = F.sum(F.col("v") - F.col("mean")).over(of.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    sums = centred.select(F.col("series_id").alias("_s"), "mean", F.col("t").alias("_t"), upto.alias("p"), F.max("t").over(of).alias("top"))
-    packed = sums.groupBy("_s").agg(F.max("mean").alias("mean"), F.transform(F.sort_array(F.collect_list(F.struct("_t", "p"))), lambda s: s["p"]).alias("p"))
-    met = starts.join(packed, F.col("series_id").eqNullSafe(F.col("_s")))
+    rows = rows.select("series_id", "t", "v", F.expr(f"t div {PIECE}").cast("int").alias("piece"))
+    whole, of = Window.partitionBy("_s"), Window.partitionBy("series_id", "piece")
+    sums = rows.groupBy(F.col("series_id").alias("_s"), F.col("piece").alias("_p")).agg(F.sum("v").alias("s"), F.count("*").alias("c"))
+    sums = sums.withColumn("mean", F.sum("s").over(whole) / F.sum("c").over(whole))
+    earlier = F.sum(F.col("s") - F.col("c") * F.col("mean")).over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("_s", "_p", "mean", F.coalesce(earlier, F.lit(0.0)).alias("before"))
+    # centred by the piece's own mean, so that sums stay small
+    own = rows.withColumn("m", F.avg("v").over(of))
+    own = own.withColumn("q", F.sum(F.col("v") - F.col("m")).over(of.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    line = F.transform(F.sort_array(F.collect_list(F.struct("t", "q"))), lambda x: x["q"])
+    own = own.groupBy("series_id", "piece").agg(F.first("m").alias("m"), line.alias("q"))
+    pieces = own.join(sums, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_p"))).select("_s", "_p", "mean", "before", "m", "q")
     size = F.least(F.col("length"), F.col("n") - F.col("k") * F.col("length"))
-    at = lambda i: F.when(i > 0, F.col("p")[i - 1]).otherwise(0.0)
     end = F.col("start") + size
-    total = at(F.least(end, F.col("n"))) - at(F.col("start"))
+    at = lambda place, sign: F.struct(place.cast("int").alias("at"), F.lit(sign).alias("sign"))
+    looks = [at(F.least(end, F.col("n")) - 1, 1.0), at(F.col("start") - 1, -1.0)]
     if isinstance(method, CircularBlock):
-        total = total + F.when(end > F.col("n"), F.col("p")[end - F.col("n") - 1]).otherwise(0.0)
-    return met.withColumn("s", total).groupBy("series_id", "b").agg((F.first("mean") + F.sum("s") / F.first("n")).alias("theta"))
+        looks.append(at(F.when(end > F.col("n"), end - F.col("n")).otherwise(0) - 1, 1.0))
+    each = starts.select("series_id", "b", "n", F.explode(F.array(*looks)).alias("e")).where("e.at >= 0").select("series_id", "b", "n", "e.at", "e.sign", F.expr(f"e.at div {PIECE}").cast("int").alias("piece"))
+    met = each.join(pieces, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_p")))
+    place = F.col("at") - F.col("piece") * PIECE
+    upto = F.col("before") + F.get("q", place) + (place + 1) * (F.col("m") - F.col("mean"))
+    found = met.select("series_id", "b", "n", "mean", (F.col("sign") * upto).alias("s"))
+    return found.groupBy("series_id", "b").agg((F.first("mean") + F.sum("s") / F.first("n")).alias("theta"))
 
 
 def replicate_quantiles(statistics: DataFrame, levels: list[float]) -> DataFrame:

@@ -16,7 +16,7 @@ from ..errors import Codes, DegenerateBlockBootstrapWarning, MethodConfigError,
 from ..operators import engine, intervals, reduce, resample
 from ..operators.blocklength import block_lengths, optimal_block_length
 from ..sources.series import SeriesFrame, active_session, from_arrays, output_type, to_exog, to_matrix, to_panel
-from ..specs import IID, OBSERVATION_METHODS, MethodSpec, StationaryBlock, TaperedBlock
+from ..specs import IID, OBSERVATION_METHODS, CircularBlock, MethodSpec, MovingBlock, NonOverlappingBlock, StationaryBlock, TaperedBlock
 from .metadata import MethodMetadata, metadata_for, register_metadata
 
 
@@ -200,7 +200,32 @@ def bootstrap_reduce(X: object, *, method: MethodSpec, statistic: object, n_boot
     engine.check_before(method, series.width, n_exog)
     job = engine.make_job(method, n_bootstraps, random_state, stream, panel=isinstance(X, SeriesFrame), exog=n_exog, was_1d=series.was_1d or series.width - n_exog == 1, clamp=isinstance(X, SeriesFrame))
     notes = _notes(series, method)
-    return Reduced(engine.run_statistics(series, job, what, _tasks(series, n_bootstraps)), _provenance(job, "float64", notes))
+    if stream == "counter" and series.extent[2] > LONG and isinstance(method, OBSERVATION_METHODS) and what.name != "call":
+        frame = _long_statistics(series, method, what, n_bootstraps, job.seed)
+    else:
+        frame = engine.run_statistics(series, job, what, _tasks(series, n_bootstraps))
+    return Reduced(frame, _provenance(job, "float64", notes))
+
+
+#: Observations beyond which a series isn't packed into one row, with the counter stream and a named statistic.
+LONG = 1 << 22
+
+
+def _long_statistics(series: SeriesFrame, method: MethodSpec, what: reduce.Statistic, n_bootstraps: int, seed: int) -> DataFrame:
+    """As engine.run_statistics(), for series of any length, by DataFrame operators: block means by prefix sums, all else by a join.
+
+    Quantiles over a replicate hold its distinct values, so they ask for memory as long as a series has many.
+    """
+    if what.name == "mean" and isinstance(method, (MovingBlock, CircularBlock, NonOverlappingBlock)):
+        starts = resample.start_frame(with_lengths(series, method), method, n_bootstraps, seed)
+        columns = [reduce.block_sum_means(series.rows.select("series_id", "t", F.col("x")[j].alias("v")), starts, method).withColumn("dim", F.lit(j)) for j in range(series.width)]
+        long = columns[0]
+        for c in columns[1:]:
+            long = long.unionByName(c)
+    else:
+        long = reduce.reduce_frame(bootstrap_frame(series, method, n_bootstraps, seed), what)
+    theta = F.transform(F.sort_array(F.collect_list(F.struct("dim", "theta"))), lambda s: s["theta"])
+    return long.groupBy("series_id", "b").agg(theta.alias("theta")).select("series_id", "b", "theta", F.lit(None).cast("string").alias("status"))
 
 
 def bootstrap_reduce_panel(panel: object, *, indptr: object = None, method: MethodSpec, statistic: object, n_bootstraps: int = 999, random_state: object = None, stream: str = "counter", vectorized: bool = False) -> Reduced:
@@ -232,10 +257,14 @@ def bootstrap_iter(X: object, *, method: MethodSpec, n_bootstraps: int = 999, ra
         yield (values[:, :, 0] if series.was_1d else values), idx
 
 
-def register_method(kind: type, metadata: MethodMetadata, replicate: Callable) -> None:
-    """A method of one's own: its record, and a function (spec, x, slot, first, count) -> values (count, n, d), run in tasks."""
+def register_method(kind: type, metadata: MethodMetadata, replicate: Callable, *, prepare: Callable | None = None, reduce: Callable | None = None) -> None:
+    """A method of one's own: its record, and functions that run in tasks, as engine.Custom describes them.
+
+    replicate makes values; prepare, if given, fits once a series and chunk of replicates what replicate then gets in the
+    series' place; reduce, if given, makes statistics without values, and may return None for those that it can't.
+    """
     register_metadata(kind, metadata)
-    engine.CUSTOM[kind] = replicate
+    engine.CUSTOM[kind] = engine.Custom(replicate, prepare, reduce)
 
 
 def conf_int(X: object, statistic: object, *, method: MethodSpec, kind: str = "percentile", alpha: float = 0.05, n_bootstraps: int = 999, random_state: object = None, stream: str = "seedseq", se_statistic: Callable | None = None, se_block_length: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -63,10 +63,12 @@ class SeriesFrame:
         return self.rows.groupBy("series_id", "slot").agg(F.count("*").cast("int").alias("n"))
 
 
-def from_frame(df: DataFrame, values: str | Sequence[str], *, order: str | Sequence[str], series: str | Sequence[str] | None = None, exog: Sequence[str] = (), check: bool = True, min_obs: int = MIN_OBSERVATIONS) -> SeriesFrame:
+def from_frame(df: DataFrame, values: str | Sequence[str], *, order: str | Sequence[str], series: str | Sequence[str] | None = None, exog: Sequence[str] = (), check: bool = True, min_obs: int = MIN_OBSERVATIONS, spread: int = 0) -> SeriesFrame:
     """Series of df: values by rank of `order` (which must be a total order, or ties are broken by the values) within `series`.
 
     Raises for nulls, NaN, infinities and series shorter than min_obs, unless check is False. exog columns come last in x.
+    spread: for series too long to be sorted by one task, the number of ranges of the first order column (a number, date or
+    time) that are sorted apart; ranks are then place in the range plus what the series has in earlier ranges.
     """
     columns = [values] if isinstance(values, str) else list(values)
     order = [order] if isinstance(order, str) else list(order)
@@ -85,8 +87,12 @@ def from_frame(df: DataFrame, values: str | Sequence[str], *, order: str | Seque
         key, slot = F.struct(*keys), slot_of(F.struct(*keys), "struct")
     x = F.array(*[F.col(c).cast("double") for c in [*columns, *exog]])
     rows = df.select(key.alias("series_id"), slot.alias("slot"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], x.alias("x"))
-    rank = Window.partitionBy("series_id").orderBy(*[f"_o{i}" for i in range(len(order))], "x")
-    rows = rows.withColumn("t", (F.row_number().over(rank) - 1).cast("int")).select("series_id", "slot", "t", "x")
+    line = [f"_o{i}" for i in range(len(order))] + ["x"]
+    if spread > 1:
+        rows = _ranked_by_ranges(rows, line, kinds[order[0]], spread)
+    else:
+        rank = Window.partitionBy("series_id").orderBy(*line)
+        rows = rows.withColumn("t", (F.row_number().over(rank) - 1).cast("int")).select("series_id", "slot", "t", "x")
     known = None
     if check:
         bad = F.count_if(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
@@ -99,6 +105,27 @@ def from_frame(df: DataFrame, values: str | Sequence[str], *, order: str | Seque
     return SeriesFrame(rows, len(columns) + len(exog), len(columns) == 1 and not exog and isinstance(values, str), known)
 
 
+def _ranked_by_ranges(rows: DataFrame, line: list[str], kind: str, ranges: int) -> DataFrame:
+    """series_id, slot, t, x of rows (series_id, slot, x and the columns of line): no task sorts more than one range of a series.
+
+    The ranges' ends are quantiles of the first column of line over all rows: numbers, so that a recomputed task deals rows
+    as before. Rows with equal values stay in one range.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    first = F.col(line[0]).cast("timestamp") if kind.startswith(("date", "timestamp")) else F.col(line[0])
+    rows = rows.withColumn("_at", F.coalesce(first.cast("double"), F.lit(float("-inf"))))  # nulls come first, as in a sort
+    ends = rows.where("_at > double('-inf') and not isnan(_at)").approxQuantile("_at", [i / ranges for i in range(1, ranges)], 0.1 / ranges)
+    splits = [float("-inf"), *sorted(set(ends) or {0.0}), float("inf")]
+    rows = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep").transform(rows)
+    before = rows.groupBy(F.col("series_id").alias("_s"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("_s", "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("series_id", "_range").orderBy(*line))
+    met = rows.withColumn("_own", own).join(before, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    return met.select("series_id", "slot", (F.col("_before") + F.col("_own") - 1).cast("int").alias("t"), "x")
+
+
 def to_matrix(X: object, name: str = "X", min_obs: int = MIN_OBSERVATIONS) -> tuple[np.ndarray, bool]:
     """(n, d) doubles from an array, list, or pandas, Polars or Arrow frame or column; whether it had one dimension."""
     for how in ("to_numpy", "to_pandas"):
