@@ -6,6 +6,9 @@ engine can repeat them. Key: the seed's 64 bits. Counter: (block of four words,
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,37 +59,60 @@ def below(word: Column, n: Column) -> Column:
 
 def words(counter: tuple[np.ndarray | int, ...], seed: int) -> np.ndarray:
     """The same in numpy: counters broadcast against each other; the last axis of the result holds the four words."""
-    c = [np.array(x, np.uint64) & np.uint64(MASK) for x in np.broadcast_arrays(*counter)]
-    out = np.empty((*c[0].shape, 4), np.uint64)
-    flat, rows = [x.reshape(-1) for x in c], out.reshape(-1, 4)
-    for at in range(0, len(flat[0]), CACHED):
-        for j, w in enumerate(_permuted([x[at : at + CACHED] for x in flat], seed)):
-            rows[at : at + CACHED, j] = w
+    shape = np.broadcast_shapes(*[np.shape(x) for x in counter])
+    c = [np.array(x, np.uint64) & np.uint64(MASK) for x in counter]
+    c = [x.reshape((1,) * (max(1, len(shape)) - x.ndim) + x.shape) for x in c]
+    out = np.empty((*shape, 4), np.uint64)
+    for at, found in _permuted(c, shape or (1,), seed):
+        out.reshape(-1, *(shape or (1,))[1:], 4)[at] = np.stack(found, axis=-1)
     return out
 
 
-def _permuted(c: list[np.ndarray], seed: int) -> list[np.ndarray]:
-    c0, c1, c2, c3 = (x.copy() for x in c)
-    p, q, s32, mask, m0, m1 = np.empty_like(c0), np.empty_like(c0), np.uint64(32), np.uint64(MASK), np.uint64(M0), np.uint64(M1)
-    for k0, k1 in _round_keys(seed):
-        np.multiply(c0, m0, out=p)
-        np.multiply(c2, m1, out=q)
-        np.right_shift(q, s32, out=c0)
-        np.bitwise_xor(c0, c1, out=c0)
-        np.bitwise_xor(c0, np.uint64(k0), out=c0)
-        np.bitwise_and(q, mask, out=c1)
-        np.right_shift(p, s32, out=c2)
-        np.bitwise_xor(c2, c3, out=c2)
-        np.bitwise_xor(c2, np.uint64(k1), out=c2)
-        np.bitwise_and(p, mask, out=c3)
-    return [c0, c1, c2, c3]
-
-
-def draws(seed: int, purpose: int, slot: int, first: int, replicates: int, n: int) -> np.ndarray:
-    """(replicates, n) words: draw i of a replicate is word i % 4 of counter block i // 4."""
-    block = np.arange(-(-n // 4), dtype=np.uint64)
-    b = np.arange(first, first + replicates, dtype=np.uint64)
-    return words((block[None, :], b[:, None], slot & MASK, purpose), seed).reshape(replicates, -1)[:, :n]
+def _round(c: list[np.ndarray], keys: tuple[int, int]) -> list[np.ndarray]:
+    p, q = c[0] * np.uint64(M0), c[2] * np.uint64(M1)
+    s32, mask = np.uint64(32), np.uint64(MASK)
+    return [(q >> s32) ^ (c[1] ^ np.uint64(keys[0])), q & mask, (p >> s32) ^ (c[3] ^ np.uint64(keys[1])), p & mask]
+
+
+def _permuted(c: list[np.ndarray], shape: tuple[int, ...], seed: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """Slices of the first axis, as many cells as fit the cache, and the four words of their cells.
+
+    c: counters of as many axes as shape, to be broadcast. For as long as they vary along one axis only, which is two rounds
+    and part of a third where one is the replicate and another the place, they are worked on as they are.
+    """
+    keys = _round_keys(seed)
+    for r in range(3):
+        c = _round(c, keys[r])
+    size = max(1, CACHED // max(1, math.prod(shape[1:])))
+    s32, mask, m0, m1 = np.uint64(32), np.uint64(MASK), np.uint64(M0), np.uint64(M1)
+    for at in range(0, shape[0], size):
+        own = slice(at, min(at + size, shape[0]))
+        cells = (own.stop - own.start, *shape[1:])
+        c0, c1, c2, c3 = (np.array(np.broadcast_to(x[own] if x.shape[0] > 1 else x, cells)) for x in c)
+        p, q = np.empty_like(c0), np.empty_like(c0)
+        for k0, k1 in keys[3:]:
+            np.multiply(c0, m0, out=p)
+            np.multiply(c2, m1, out=q)
+            np.right_shift(q, s32, out=c0)
+            np.bitwise_xor(c0, c1, out=c0)
+            np.bitwise_xor(c0, np.uint64(k0), out=c0)
+            np.bitwise_and(q, mask, out=c1)
+            np.right_shift(p, s32, out=c2)
+            np.bitwise_xor(c2, c3, out=c2)
+            np.bitwise_xor(c2, np.uint64(k1), out=c2)
+            np.bitwise_and(p, mask, out=c3)
+        yield own, [c0, c1, c2, c3]
+
+
+def draws(seed: int, purpose: int, slot: int, first: int, replicates: int, n: int, below: int | None = None) -> np.ndarray:
+    """(replicates, n) words: draw i of a replicate is word i % 4 of counter block i // 4; with below, scaled() to 0..below-1."""
+    blocks = -(-n // 4)
+    c = [np.arange(blocks, dtype=np.uint64)[None], np.arange(first, first + replicates, dtype=np.uint64)[:, None], np.full((1, 1), slot & MASK, np.uint64), np.full((1, 1), purpose, np.uint64)]
+    out = np.empty((replicates, blocks, 4), np.uint64 if below is None else np.int64)
+    for at, found in _permuted(c, (replicates, blocks), seed) if blocks else ():
+        for j, w in enumerate(found):
+            out[at, :, j] = w if below is None else (np.right_shift(np.multiply(w, np.uint64(below), out=w), np.uint64(32), out=w)).view(np.int64)
+    return out.reshape(replicates, blocks * 4)[:, :n]
 
 
 def scaled(words_: np.ndarray, n: int | np.ndarray) -> np.ndarray:

@@ -56,7 +56,7 @@ def forecast_frame(series: SeriesFrame, model: AR, horizon: int, n_bootstraps: i
                 fit = models.fit_ar(x, model.order)
                 models.check_stability(fit.lags)
                 e = fit.residuals - fit.residuals.mean()
-                idx = philox.scaled(philox.draws(seed, philox.RESIDUAL, slot, 0, n_bootstraps, horizon), len(e))
+                idx = philox.draws(seed, philox.RESIDUAL, slot, 0, n_bootstraps, horizon, len(e))
                 low, high, mid = np.quantile(_future(x, fit, e[idx]), [alpha / 2, 1 - alpha / 2, 0.5], axis=0)
                 own = batch.column(0).slice(i, 1).take(pa.array(np.zeros(horizon, np.int64)))
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(1, horizon + 1, dtype=np.int32)), pa.array(low), pa.array(high), pa.array(mid)], ["series_id", "h", "lower", "upper", "median"])

@@ -365,7 +365,7 @@ def counter_draws(ctx: Prepared, seed: int, slot: int, first: int, count: int) -
     p = len(ctx.fit.first) if arima else ctx.fit.order
     steps = len(ctx.fit.residuals) - p if arima else n + ctx.burn_in - p
     if ctx.weights is None:
-        out = e[philox.scaled(philox.draws(seed, philox.RESIDUAL, slot, first, count, steps), len(e))]
+        out = e[philox.draws(seed, philox.RESIDUAL, slot, first, count, steps, len(e))]
     else:
         kind, length = ctx.weights
         v = np.repeat(counter_weights(kind, seed, slot, first, count, -(-steps // length)), length, axis=1)[:, :steps]
@@ -374,7 +374,7 @@ def counter_draws(ctx: Prepared, seed: int, slot: int, first: int, count: int) -
         return out, np.tile(ctx.fit.first, (count, 1))
     at = np.zeros((count, 1), np.int64)
     if ctx.initial != "fixed":
-        at = philox.scaled(philox.draws(seed, philox.INITIAL, slot, first, count, 1), n - p + 1)
+        at = philox.draws(seed, philox.INITIAL, slot, first, count, 1, n - p + 1)
     values = ctx.x if ctx.kind == "var" else ctx.x[:, 0]
     return out, values[at + np.arange(p)]
 

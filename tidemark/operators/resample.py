@@ -93,7 +93,7 @@ def _starts_below(method: MethodSpec, length: int, n: int) -> tuple[int, int]:
 def counter_starts(method: MethodSpec, length: int, n: int, seed: int, slot: int, first: int, count: int) -> np.ndarray:
     """(count, blocks) starts of a block method."""
     top, factor = _starts_below(method, length, n)
-    return philox.scaled(philox.draws(seed, philox.BLOCK_START, slot, first, count, -(-n // length)), top) * factor
+    return philox.draws(seed, philox.BLOCK_START, slot, first, count, -(-n // length), top) * factor
 
 
 def counter_segments(length: int, n: int, seed: int, slot: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def segment_table(length: int, n: int, seed: int, slot: int, first: int, count:
         if k == n or end[:, -1].min() >= n:
             break
         k = min(n, 2 * k)
-    return end - np.minimum(sizes, n), philox.scaled(philox.draws(seed, philox.SEGMENT_START, slot, first, count, k), n)
+    return end - np.minimum(sizes, n), philox.draws(seed, philox.SEGMENT_START, slot, first, count, k, n)
 
 
 def geometric(words: np.ndarray, length: int) -> np.ndarray:
@@ -130,7 +130,7 @@ def geometric(words: np.ndarray, length: int) -> np.ndarray:
 def counter_indices(method: MethodSpec, length: int, n: int, seed: int, slot: int, first: int, count: int) -> np.ndarray:
     """(count, n) indices of replicates first, first + 1, ..."""
     if isinstance(method, IID):
-        return philox.scaled(philox.draws(seed, philox.IID_INDEX, slot, first, count, n), n)
+        return philox.draws(seed, philox.IID_INDEX, slot, first, count, n, n)
     if isinstance(method, StationaryBlock):
         begin, start, segment = counter_segments(length, n, seed, slot, first, count)
         t = np.arange(n)
