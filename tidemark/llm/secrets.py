@@ -54,10 +54,9 @@ def _pieces(rule: Rule, order: int) -> Column:
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob, kind (index into rules), start, end of what rules find in blobs (blob, text, todo: names of the rules to run)."""
-    some = blobs.where(F.col("text").rlike("|".join(r.hint for r in rules)))
     none = F.expr("cast(array() as array<struct<kind:int,i:int,gap:bigint,len:bigint,ok:boolean>>)")
     parts = [F.when(F.array_contains("todo", r.name), _pieces(r, k)).otherwise(none) for k, r in enumerate(rules)]
-    each = some.select("blob", F.explode(F.concat(*parts)).alias("p")).select("blob", "p.*")
+    each = blobs.select("blob", F.explode(F.concat(*parts)).alias("p")).select("blob", "p.*")
     upto = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("blob", "kind").orderBy("i"))
     return each.withColumn("end", upto).where("ok").select("blob", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
 
@@ -76,27 +75,36 @@ class Scan:
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> Scan:
-    """Scan the texts of docs (doc_id, text; null text: empty), except for what ledger (LEDGER) holds already."""
+    """Scan the texts of docs (doc_id, text; null text: empty), except for what ledger (LEDGER) holds already.
+
+    Rows with a null doc_id are paths like any other; equal texts are one blob, scanned once; an empty table scans nothing.
+    """
     rows = documents_only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    blobs = rows.select("blob", "text").groupBy("blob").agg(F.first("text").alias("text"))
     todo = F.array(*[F.lit(r.name) for r in rules])
-    old = None
-    if ledger is None:
-        blobs = blobs.withColumn("todo", todo)
-    else:
-        old = ledger.where(F.col("rule").isin([r.name for r in rules]))
+    old, unseen = None, rows.withColumn("todo", todo)
+    if ledger is not None:
+        old = cut(ledger.where(F.col("rule").isin([r.name for r in rules])))
         known = old.groupBy("blob").agg(F.collect_set("rule").alias("known"))
-        blobs = blobs.join(known, "blob", "left").withColumn("todo", F.array_except(todo, F.coalesce("known", F.array().cast("array<string>")))).where(F.size("todo") > 0)
-    found = cut(scan_blobs(blobs, rules))
+        left = F.array_except(todo, F.coalesce("known", F.array().cast("array<string>")))
+        unseen = rows.join(bounded(cut(known)), "blob", "left").withColumn("todo", left).where(F.size("todo") > 0)
+    # a text in which no hint occurs has no finding, so only its address travels
+    hinted = F.when(F.col("text").rlike("|".join(r.hint for r in rules)), F.col("text"))
+    blobs = unseen.groupBy("blob").agg(F.first("todo").alias("todo"), F.first(hinted).alias("text"))
+    found = cut(scan_blobs(blobs.where("text is not null"), rules))
     if old is not None:
         kinds = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.name, k)])
         here = rows.select("blob").distinct()
         found = found.union(old.join(here, "blob", "left_semi").select("blob", kinds[F.col("rule")].alias("kind"), F.explode("spans").alias("s")).select("blob", "kind", "s.start", "s.end"))
-    return Scan(rows.select("doc_id", "blob"), found, blobs.select("blob", F.explode("todo").alias("rule")))
+    seen = unseen.select("blob", "todo").distinct().select("blob", F.explode("todo").alias("rule"))
+    return Scan(rows.select("doc_id", "blob"), found, seen)
 
 
 def per_document(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, counts (long, by rule, in order), spans (array of start, kind, end, sorted) for every row of docs."""
+    """doc_id, counts (long, by rule, in order), spans (array of start, kind, end, sorted) for every row of docs (doc_id, text).
+
+    Null and empty texts have no findings; rows that repeat a text, or a doc_id, or both, each get their text's findings;
+    spans of two kinds may start at one place and are then in the rules' order. An empty table gives an empty one.
+    """
     done = scan(docs, ledger, rules)
     counts = F.array(*[F.count_if(F.col("kind") == k) for k in range(len(rules))])
     found = done.findings.groupBy("blob").agg(counts.alias("counts"), F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
@@ -106,7 +114,11 @@ def per_document(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
 
 
 def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The rows of docs, all columns, each run of found characters replaced by mark; n_chars, if there is one, follows."""
+    """The rows of docs, all columns, each run of found characters replaced by mark; n_chars, if there is one, follows.
+
+    Null texts stay null, and texts without a finding stay as they are, with their n_chars. Of spans that overlap, the
+    first takes the mark and the rest of the others goes with it. Repeated rows are masked alike; an empty table stays empty.
+    """
     spans, blob = unused(docs, "spans", "blob")
     found = scan(docs).findings.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans)).withColumnRenamed("blob", blob)
     out = docs.join(bounded(cut(found)), F.sha2(F.coalesce("text", F.lit("")), 256) == F.col(blob), "left")
