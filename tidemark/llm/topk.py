@@ -1,14 +1,17 @@
 """Exact top-k search by inner product: Fagin's threshold algorithm over sorted per-dimension lists.
 
-Vectors are dealt by a hash of their id into blocks of about `BLOCK` rows, queries into blocks of about `QUERIES`; each pair
-of blocks is one group, so the work spreads over the grid and no group grows with the data. Within a group, each dimension
-has its list of vectors, sorted by component. A query walks all lists at once, from the end that its own sign favours; new
-vectors are scored in full; the bound is the score of a vector that stood at the current depth in every list. The walk ends
-once the bound cannot beat, nor tie, the k-th result. Each group yields k rows a query at most, merged by one ranking.
+Vectors are dealt by a hash of their id into blocks of `BLOCK` rows at most, about; queries travel to all blocks, vectors
+never do. A block's vectors come first and its queries after them, so a task sorts each list once a block, holds one block,
+and streams queries past it. Each dimension has its list of vectors, sorted by component. A query walks all lists at once,
+from the end that its own sign favours; new vectors are scored in full; the bound is the score of a vector that stood at
+the current depth in every list. The walk ends once the bound cannot beat, nor tie, the k-th result. Each block yields k
+rows a query at most, merged by one ranking.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, documents_only, table
 
-BLOCK, QUERIES, STEP = 8192, 1024, 32
+BLOCK, LEAST_BLOCK, STEP = 16_384, 2_048, 32
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,28 +60,55 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, query
     return top_ids, top
 
 
-def _block(k: int):  # noqa: ANN202
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t.column("id").to_numpy()
-        rows = np.floor(256 * t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)) if len(ids) else np.empty((0, 0))
+class Block:
+    """Vectors of one length, their lists, and what a query finds among them."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         if len(np.unique(ids)) < len(ids):  # a repeated row counts once
             _, first = np.unique(np.column_stack([ids.view(np.float64), rows]).view(np.uint64), axis=0, return_index=True)
             ids, rows = ids[np.sort(first)], rows[np.sort(first)]
-        return ids, rows
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (ids, rows), (asked, queries) = matrix(left), matrix(right)
-        out: list[tuple[int, str, int, int]] = []
-        if len(ids) and len(asked):
-            lists = np.argsort(rows, axis=0, kind="stable")
-            if rows.shape[1] * (np.abs(rows).max(initial=0) + 1) * (np.abs(queries).max(initial=0) + 1) >= 2.0**53:  # sums that doubles can't hold
-                rows, queries = (np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (rows, queries))
-            for own, query in zip(asked, queries, strict=True):
-                key = ",".join(str(int(x)) for x in query)
-                out += [(own, key, i, int(s)) for i, s in zip(*threshold_search(ids, rows, lists, query, own, k), strict=True)]
-        names = ["query_id", "key", "vec_id", "score"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array([int(x[j]) if j != 1 else x[j] for x in out], kinds[j]) for j in range(4)], names)
+        self.ids, self.rows, self.lists = ids, rows, np.argsort(rows, axis=0, kind="stable").astype(np.int32)
+        self.largest = np.abs(rows).max(initial=0) + 1
+        self.whole: np.ndarray | None = None
+
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.rows
+        if rows.shape[1] * self.largest * (np.abs(query).max(initial=0) + 1) >= 2.0**53:  # sums that doubles can't hold
+            if self.whole is None:
+                self.whole = np.array([[int(x) for x in row] for row in rows], object).reshape(rows.shape)
+            rows, query = self.whole, np.array([int(x) for x in query], object)
+        return threshold_search(self.ids, rows, self.lists, query, own, k)
+
+
+def _blocks(k: int):  # noqa: ANN202
+    """Rows (block, dim, asked, id, v), in that order -> query_id, key, vec_id, score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        block, at = None, None
+        for batch in batches:
+            place = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            ids, lists = batch.column(3).to_numpy(), batch.column(4)
+            edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
+            out: list[tuple[int, str, np.ndarray, np.ndarray]] = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                number, dim, asked = place[lo].tolist()
+                rows = np.floor(256 * lists.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, dim))
+                if at != (number, dim):
+                    held, block, at = [], None, (number, dim)
+                if not asked:
+                    held.append((ids[lo:hi], rows))
+                    continue
+                if held:
+                    block, held = Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), []
+                if block is not None:
+                    out += [(own, ",".join(str(int(x)) for x in query), *block.best(query, own, k)) for own, query in zip(ids[lo:hi].tolist(), rows, strict=True)]
+            sizes = [len(o[2]) for o in out]
+            take = pa.array(np.repeat(np.arange(len(out)), sizes))
+            found, scores = [i for o in out for i in o[2].tolist()], [int(s) for o in out for s in o[3]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()).take(take), pa.array([o[1] for o in out], pa.string()).take(take), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "key", "vec_id", "score"])
 
     return run
 
@@ -97,12 +127,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return df.select(F.col("id").cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0").where(fine).withColumn("dim", F.size("v"))
 
     vectors, queries = usable(vectors), usable(queries)
-    n_blocks, q_blocks = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = vectors.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("vb"), every(q_blocks, "qb"))
-    right = queries.select("id", "v", "dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).cast("int").alias("qb"), every(n_blocks, "vb"))
-    keys = ["vb", "qb", "dim"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block(k), "query_id long, key string, vec_id long, score long")
+    n = vectors.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, -(-n // BLOCK), min(2 * cores, n // LEAST_BLOCK))
+    left = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "dim", F.lit(0).alias("asked"), "id", "v")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "dim", F.lit(1).alias("asked"), "id", "v")
+    dealt = left.unionByName(right).repartitionById(n_blocks, "block").sortWithinPartitions("block", "dim", "asked")
+    found = dealt.mapInArrow(_blocks(k), "query_id long, key string, vec_id long, score long")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
