@@ -81,11 +81,11 @@ class Block:
 
 
 def _blocks(k: int):  # noqa: ANN202
-    """Rows (block, dim, asked, id, v), in that order -> query_id, key, vec_id, score."""
+    """Rows (block, dim, asked, id, v), sorted by the first four -> query_id, key, vec_id, score; a query that is repeated counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        block, at = None, None
+        block, at, last, asked_of_last = None, None, None, set()
         for batch in batches:
             place = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
             ids, lists = batch.column(3).to_numpy(), batch.column(4)
@@ -97,14 +97,19 @@ def _blocks(k: int):  # noqa: ANN202
                 number, dim, asked = place[lo].tolist()
                 rows = np.floor(256 * lists.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, dim))
                 if at != (number, dim):
-                    held, block, at = [], None, (number, dim)
+                    held, block, at, last = [], None, (number, dim), None
                 if not asked:
                     held.append((ids[lo:hi], rows))
                     continue
                 if held:
                     block, held = Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), []
-                if block is not None:
-                    out += [(own, ",".join(str(int(x)) for x in query), *block.best(query, own, k)) for own, query in zip(ids[lo:hi].tolist(), rows, strict=True)]
+                for own, query in zip(ids[lo:hi].tolist(), rows, strict=True) if block is not None else ():
+                    if own != last:
+                        last, asked_of_last = own, set()
+                    key = ",".join(str(int(x)) for x in query)
+                    if key not in asked_of_last:
+                        asked_of_last.add(key)
+                        out.append((own, key, *block.best(query, own, k)))
             sizes = [len(o[2]) for o in out]
             take = pa.array(np.repeat(np.arange(len(out)), sizes))
             found, scores = [i for o in out for i in o[2].tolist()], [int(s) for o in out for s in o[3]]
@@ -132,7 +137,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n_blocks = max(1, -(-n // BLOCK), min(2 * cores, n // LEAST_BLOCK))
     left = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "dim", F.lit(0).alias("asked"), "id", "v")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "dim", F.lit(1).alias("asked"), "id", "v")
-    dealt = left.unionByName(right).repartitionById(n_blocks, "block").sortWithinPartitions("block", "dim", "asked")
+    dealt = left.unionByName(right).repartitionById(n_blocks, "block").sortWithinPartitions("block", "dim", "asked", "id")
     found = dealt.mapInArrow(_blocks(k), "query_id long, key string, vec_id long, score long")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
