@@ -244,11 +244,19 @@ def _counted(hot: DataFrame) -> DataFrame:
     """Spans of the contexts (m, d1, d2, context, n) of hot hashes: windows whose digest counts twice or more."""
     even = hot.select("m", "d1", "d2", "context", "n").repartition("d1", "d2")
     windows = even.mapInArrow(_window_digests, "m long, d1 long, d2 long, w1 long, w2 long, at long, n long")
-    again = windows.groupBy("m", "w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("m", "w1", "w2")
-    met = windows.join(again, ["m", "w1", "w2"], "left_semi").groupBy("m", "d1", "d2").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # cut, so that both sides of the join are plain exchanges: Spark can split a window that very many contexts have
+    again = cut(windows.groupBy("m", "w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("m", "w1", "w2"))
+    met = windows.join(bounded(again), ["m", "w1", "w2"], "left_semi").groupBy("m", "d1", "d2").agg(F.array_sort(F.collect_set("at")).alias("at"))
     return met.select("m", "d1", "d2", merged(F.transform("at", lambda a: F.struct(a.alias("start"), (a + LEAST).alias("end")))).alias("spans"))
 
 
+def _hot_contexts(docs: DataFrame, places: DataFrame, hot: DataFrame) -> DataFrame:
+    """m, d1, d2, context, n of the distinct contexts of hot hashes alone: made by themselves, they are few, and can be cut."""
+    own = places.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", "s", F.col("s.m").alias("m")).join(bounded(hot), "m", "left_semi")
+    held = _contexts(with_spans(docs, own.groupBy("doc_id", "key").agg(F.collect_list("s").alias("spans")), 20_000, inner=True))
+    return held.groupBy("m", "d1", "d2").agg(F.count("*").alias("n"), F.first("context").alias("context")).select("m", "d1", "d2", "context", "n")
+
+
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key, spans (sorted, apart) of all rows of docs (doc_id, text) with a repeat of LEAST bytes or more.
 
@@ -268,14 +276,19 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     usual = unique.join(bounded(hot), "m", "left_anti") if n_hot else unique
     index = usual.groupBy(F.pmod("m", F.lit(max(1, -(-total // BUCKET)))).alias("bucket")).applyInArrow(_indexed, f"m long, d1 long, d2 long, spans array<{SPAN}>").where(F.size("spans") > 0)
     if n_hot:
-        index = index.unionByName(_counted(unique.join(bounded(hot), "m", "left_semi")))
+        index = index.unionByName(_counted(cut(_hot_contexts(docs, places, hot))))
     marks = held.select("m", "d1", "d2", "doc_id", "key", "lo").join(index, ["m", "d1", "d2"])
     placed = F.transform("spans", lambda s: F.struct((s["start"] + F.col("lo")).alias("start"), (s["end"] + F.col("lo")).alias("end")))
     return marks.groupBy("doc_id", "key").agg(merged(F.array_sort(F.array_distinct(F.flatten(F.collect_list(placed))))).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept] for every row of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept] for every row of docs (doc_id, text).
+
+    Null text is empty; texts under LEAST bytes keep all. Every occurrence of a repeat goes, the first one too, within one
+    text as well as across; so does all of a row of LEAST bytes or more that another row repeats. Rows with a null doc_id
+    count like any other. An empty table gives an empty one.
+    """
     return removal(docs, duplicate_spans(docs), with_text)
 
 
