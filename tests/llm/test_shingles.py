@@ -53,3 +53,24 @@ def test_each_component_keeps_a_row_where_ids_repeat(spark):
     a, b = "the first of two texts, with words enough", "another text altogether, and not at all like it"
     docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
     assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(3, a), (5, b)]
+
+
+def test_balls_and_what_lies_around_them(spark):
+    """Large groups around a text and around a variant of it, and texts that only some member links to a group."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    base = [word() for _ in range(150)]
+
+    def changed(text, least, most, cut=0):
+        copy = list(text)
+        for i in rng.sample(range(len(copy)), rng.randint(least, most)):
+            copy[i] = word()
+        return copy[: len(copy) - rng.randint(0, cut)]
+
+    other = changed(base, 4, 4)
+    groups = [[base, base, *(changed(base, 1, 3, 12) for _ in range(60))], [other, *(changed(other, 1, 2, 8) for _ in range(40))]]
+    around = [changed(rng.choice(g), 1, 2, 20) for g in groups for _ in range(50)]
+    around += [changed(base, 4, 8, 15) for _ in range(30)]
+    rows = [" ".join(t) for t in [*groups[0], *groups[1], *around]]
+    rng.shuffle(rows)
+    held(spark, list(enumerate(rows)))

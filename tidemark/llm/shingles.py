@@ -4,10 +4,15 @@ A set of shingles is a set of their 64-bit hashes; equal sets are collapsed into
 shingle among the first n - ceil(0.8 n) + 1 of each, in any order that all share (prefix filtering): shingles that a sample
 finds common come last, so boilerplate seldom makes a candidate. The order decides what is compared, not what is found.
 
+Of a pair that reaches 0.8, the first shingle that both have in that order leaves each with 4/9 of their sizes' sum at
+least; pairs that meet at a shingle too far back, or of sizes too far apart, are dropped where they meet (positional filter).
+
 Large groups of near copies would meet in the square of their size. So nodes with the same least hash and about one size
-are first held against one of them; those at 0.9 or more are linked to it and from then on stand under it, as a ball. Jaccard
-distance is a metric: nodes under two centres can only reach 0.8 where the centres are no further apart than 0.2 and the
-balls' radii, 0.1 each; only then, and where the centres themselves aren't linked, are the balls' members compared.
+are first held against one of them, the one with most copies; those at 0.8 or more are linked to it and from then on stand
+under it, as a ball, which has its farthest member's distance as radius. Jaccard distance is a metric: nodes under two
+centres can only reach 0.8 where the centres are no further apart than 0.2 and the balls' radii; only then, and where the
+centres themselves aren't linked, are members compared: those whose own distances leave it possible and, against a node
+outside of all balls, those that share with it a shingle which their centre lacks, or are small enough to do without one.
 
 Pairs are first held against each other by parity bitmaps, about three bits a shingle: two sets differ in at least as many
 shingles as their bitmaps in bits. Only pairs that this leaves are compared by their whole sets, made again from the texts.
@@ -20,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, cut
@@ -141,6 +146,7 @@ def _possible(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b", "tenths"]).filter(pa.array(keep))
 
     side = lambda k, n, x: nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("bits").alias(x))
+    pairs = bounded(cut(pairs))
     met = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
     return met.select("a", "b", "tenths", "n", "m", "x", "y").mapInArrow(run, "a long, b long, tenths int")
 
@@ -163,6 +169,10 @@ def compared(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     return cut(told.where("10 * (either - both) <= tenths * either"))
 
 
+def _distance(both: str = "both", either: str = "either") -> Column:
+    return (F.col(either) - F.col(both)) / F.col(either)
+
+
 def links(rows: DataFrame, found: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
     """(a, b): links that give the nodes the components which all pairs at 0.8 or more would give them.
 
@@ -170,29 +180,71 @@ def links(rows: DataFrame, found: DataFrame, nodes: DataFrame, shingle: int, see
     of one of them); both cut.
     """
     group = ["low", F.floor(F.log("n") * 10).alias("class")]
-    at = nodes.where("n > 0").select("node", "n", *group)
-    heads = cut(at.groupBy("low", "class").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("head")).where(F.col("size") >= LEAST))
-    near = at.join(bounded(heads), ["low", "class"]).where((F.col("node") != F.col("head.node")) & (10 * F.least("n", "head.n") >= 9 * F.greatest("n", "head.n")))
-    heads_of = near.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.lit(1).alias("tenths"))
-    under = compared(rows, nodes, heads_of, shingle, seed).select("a", "b")
+    at = nodes.where("n > 0").select("node", "n", "copies", *group)
+    head = F.max_by(F.struct("node", "n"), F.struct("copies", "node"))  # variants of a text that is itself copied lie around it
+    heads = cut(at.groupBy("low", "class").agg(F.count("*").alias("size"), head.alias("head")).where(F.col("size") >= LEAST))
+    near = at.join(bounded(heads), ["low", "class"]).where((F.col("node") != F.col("head.node")) & (5 * F.least("n", "head.n") >= 4 * F.greatest("n", "head.n")))
+    heads_of = near.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.lit(2).alias("tenths"))
+    under = cut(compared(rows, nodes, heads_of, shingle, seed).select("a", "b", _distance().alias("far")))
 
     centres = bounded(under.select(F.col("b").alias("node"), F.col("a").alias("centre")))
-    balls = bounded(cut(under.select(F.col("a").alias("ball"), F.lit(1).alias("radius")).distinct()))
+    balls = bounded(cut(under.groupBy(F.col("a").alias("ball")).agg(F.ceil(10 * F.max("far")).cast("int").alias("radius"))))
     placed = found.where("n > 0").join(centres, "node", "left").join(bounded(cut(nodes.where("copies > 1").select("node", "copies"))), "node", "left")
-    marks = placed.select(F.explode("prefix").alias("mark"), F.coalesce("centre", "node").alias("node"), (F.col("centre").isNotNull() | F.col("copies").isNotNull()).alias("many"))
+    # rest: shingles of the set from this one on, itself included
+    each = placed.select(F.posexplode("prefix").alias("i", "mark"), F.coalesce("centre", "node").alias("node"), "n", (F.col("centre").isNotNull() | F.col("copies").isNotNull()).alias("many"))
+    marks = each.select("mark", "node", "n", (F.col("n") - F.col("i")).alias("rest"), "many")
     # what copies and members repeat is summed where it is read, and never meets in one place
-    once = marks.where("not many").select("mark", "node").union(marks.where("many").select("mark", "node").distinct())
+    summed = marks.where("many").groupBy("mark", "node").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    once = marks.where("not many").select("mark", "node", F.col("n").alias("least"), F.col("n").alias("most"), "rest").union(summed)
     met = F.count("*").over(Window.partitionBy("mark"))
-    marks = cut(once.repartition("mark").withColumn("c", met).where("c > 1").select("mark", "node"))
-    pairs = marks.alias("x").join(marks.alias("y"), (F.col("x.mark") == F.col("y.mark")) & (F.col("x.node") < F.col("y.node")))
+    marks = cut(once.repartition("mark").withColumn("c", met).where("c > 1").select("mark", "node", *[F.col(x).cast("int").alias(x) for x in ("least", "most", "rest")]))
+    # sets at 0.8 share 4/9 of their sizes' sum; from their first common shingle on, each must have as many
+    x, y = marks.alias("x"), marks.alias("y")
+    enough = 9 * F.least("x.rest", "y.rest") >= 4 * (F.col("x.least") + F.col("y.least"))
+    sized = (5 * F.col("x.most") >= 4 * F.col("y.least")) & (5 * F.col("y.most") >= 4 * F.col("x.least"))
+    pairs = x.join(y, (F.col("x.mark") == F.col("y.mark")) & (F.col("x.node") < F.col("y.node")) & enough & sized)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     pairs = pairs.join(balls.select(F.col("ball").alias("a"), F.col("radius").alias("ka")), "a", "left").join(balls.select(F.col("ball").alias("b"), F.col("radius").alias("kb")), "b", "left")
     radii = F.coalesce("ka", F.lit(0)) + F.coalesce("kb", F.lit(0))
     told = compared(rows, nodes, pairs.select("a", "b", (2 + radii).alias("tenths")), shingle, seed)
+    told = told.join(balls.select(F.col("ball").alias("a"), F.col("radius").alias("ka")), "a", "left").join(balls.select(F.col("ball").alias("b"), F.col("radius").alias("kb")), "b", "left")
     direct = told.where("5 * both >= 4 * either").select("a", "b")
 
-    members = under.select(F.col("a").alias("centre"), F.col("b").alias("node")).union(balls.select("ball", "ball"))
-    side = lambda c, m: F.coalesce(F.col(f"{m}.node"), F.col(c))
-    more = told.where("5 * both < 4 * either").join(members.alias("m"), F.col("a") == F.col("m.centre"), "left").join(members.alias("o"), F.col("b") == F.col("o.centre"), "left")
-    more = compared(rows, nodes, more.select(side("a", "m").alias("a"), side("b", "o").alias("b"), F.lit(2).alias("tenths")), shingle, seed).select("a", "b")
-    return under.union(direct).union(more)
+    apart = cut(told.where("5 * both < 4 * either").select("a", "b", "both", _distance().alias("apart"), F.col("ka"), F.col("kb")))
+    if not apart.head(1):
+        return under.select("a", "b").union(direct)
+    members = cut(under.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far").join(nodes.select("node", "n"), "node").select("centre", "node", "far", "n"))
+    # a ball and a node outside: the node must have a shingle that the member has and the centre hasn't, or else, sharing no
+    # more with the member than with the centre, find the member small enough
+    flip = lambda ball, other: apart.where(f"{ball} is not null and {other} is null")
+    lone = flip("ka", "kb").select(F.col("a").alias("centre"), F.col("b").alias("x"), "both", "apart").union(flip("kb", "ka").select("b", "a", "both", "apart"))
+    lone = cut(lone.join(nodes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x").select("centre", "x", "both", "apart", "nx"))
+    near = members.join(bounded(cut(lone.select("centre").distinct())), "centre", "left_semi")
+    small = lone.join(near, (lone["centre"] == near["centre"]) & (9 * F.col("both") >= 4 * (F.col("nx") + F.col("n"))) & (F.col("apart") - F.col("far") <= 0.2 + 1e-9))
+    extra = lambda df, name: _extras(rows, nodes, df.select("centre", F.col(name).alias("node")), shingle, seed).select("centre", F.col("node").alias(name), F.explode("extra").alias("mark"))
+    shared = extra(lone, "x").join(extra(near, "node"), ["centre", "mark"]).select("x", "node")
+    # two balls: members whose own distances leave it possible
+    both = apart.where("ka is not null and kb is not null")
+    own = balls.select(F.col("ball").alias("centre"), F.col("ball").alias("node"), F.lit(0.0).alias("far"))
+    every = bounded(cut(members.select("centre", "node", "far").union(own)))
+    m, o = every.alias("m"), every.alias("o")
+    both = both.join(m, (F.col("a") == F.col("m.centre")) & (F.col("apart") - F.col("m.far") - F.col("kb") / 10 <= 0.2 + 1e-9))
+    both = both.join(o, (F.col("b") == F.col("o.centre")) & (F.col("apart") - F.col("m.far") - F.col("o.far") <= 0.2 + 1e-9)).select(F.col("m.node").alias("x"), F.col("o.node").alias("node"))
+    more = small.select("x", "node").union(shared).union(both).distinct()
+    more = compared(rows, nodes, more.select(F.col("x").alias("a"), F.col("node").alias("b"), F.lit(2).alias("tenths")), shingle, seed).select("a", "b")
+    return under.select("a", "b").union(direct).union(more)
+
+
+def _extras(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """pairs (centre, node) with extra: the hashes of the node's set that the centre's doesn't have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.setdiff1d(np.frombuffer(y.as_py(), "<u8"), np.frombuffer(x.as_py(), "<u8"), assume_unique=True).view(np.int64) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *found])))], ["centre", "node", "extra"])
+
+    pairs = bounded(cut(pairs.distinct()))
+    sets = cut(_sets(rows, nodes, pairs.select(F.col("centre").alias("node")).union(pairs.select("node")), shingle, seed))
+    met = pairs.join(sets.select(F.col("node").alias("centre"), F.col("found").alias("x")), "centre").join(sets.select("node", F.col("found").alias("y")), "node")
+    return met.select("centre", "node", "x", "y").mapInArrow(run, "centre long, node long, extra array<long>")
