@@ -18,6 +18,7 @@ from .reduce import Statistic
 
 KINDS = ("percentile", "basic", "studentized", "bca")
 NORMAL = NormalDist()
+TIE = 1e-12  # of a series' largest number: sums of the same values in another order differ by less, and are ties
 
 
 def check_alpha(alpha: float) -> None:
@@ -83,7 +84,7 @@ def jackknife_acceleration(left_out: np.ndarray) -> np.ndarray:
 
 
 def bca_levels(share: float, acceleration: float, alpha: float) -> tuple[float, float]:
-    """Levels to read off; share: of replicates below the estimate, ties half."""
+    """Levels to read off; share: of replicates below the estimate, ties (TIE) half."""
     if not 0 < share < 1:
         raise ValueError("all replicates lie on one side of the estimate")
     z0 = NORMAL.inv_cdf(share)
@@ -100,7 +101,9 @@ def bca_interval(statistics: np.ndarray, estimate: np.ndarray, acceleration: np.
     columns, e, a = s.reshape(len(s), -1), np.ravel(estimate), np.ravel(acceleration)
     pairs = []
     for j in range(columns.shape[1]):
-        share = ((columns[:, j] < e[j]).sum() + 0.5 * (columns[:, j] == e[j]).sum()) / len(s)
+        scale = max(np.abs(columns[:, j]).max(), abs(e[j]))
+        near = TIE * scale if np.isfinite(scale) else 0.0
+        share = ((columns[:, j] < e[j] - near).sum() + (columns[:, j] <= e[j] + near).sum()) / 2 / len(s)
         pairs.append(np.quantile(columns[:, j], bca_levels(share, a[j], alpha)))
     low, high = np.array(pairs).T
     return low.reshape(s.shape[1:]), high.reshape(s.shape[1:])
@@ -191,8 +194,11 @@ def bca_frame(statistics: DataFrame, estimates: DataFrame, accelerations: DataFr
         return pd.Series([list(bca_levels(s, a, alpha)) for s, a in zip(share, acceleration, strict=True)])
 
     met = statistics.join(estimates, "series_id")
-    share = F.avg(F.when(F.col("theta") < F.col("point"), 1.0).when(F.col("theta") == F.col("point"), 0.5).otherwise(0.0))
-    per = met.groupBy("series_id", "point").agg(share.alias("share"), F.sort_array(F.collect_list("theta")).alias("s")).join(accelerations, "series_id")
+    per = met.groupBy("series_id", "point").agg(F.sort_array(F.collect_list("theta")).alias("s")).join(accelerations, "series_id")
+    scale = F.greatest(F.abs(F.get("s", F.lit(0))), F.abs(F.get("s", F.size("s") - 1)), F.abs("point"))
+    near = F.when(scale < float("inf"), TIE * scale).otherwise(0.0)
+    below, upto = F.filter("s", lambda x: x < F.col("point") - near), F.filter("s", lambda x: x <= F.col("point") + near)
+    per = per.withColumn("share", (F.size(below) + F.size(upto)) / 2 / F.size("s"))
     per = per.withColumn("l", levels("share", "acceleration"))
     return per.select("series_id", quantile_at(F.col("s"), F.col("l")[0]).alias("lower"), quantile_at(F.col("s"), F.col("l")[1]).alias("upper"), "point")
 
