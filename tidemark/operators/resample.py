@@ -273,6 +273,9 @@ def out_of_bag(indices: DataFrame) -> DataFrame:
 
 
 def gathered(rows: DataFrame, indices: DataFrame) -> DataFrame:
-    """(series_id, b, t, idx, x): observations of rows (series_id, t, x) at the places of indices."""
-    source = rows.select(F.col("series_id").alias("_s"), F.col("t").alias("_t"), "x")
+    """(series_id, b, t, idx, x): observations of rows (series_id, t, x) at the places of indices.
+
+    Spark's estimates know nothing of how many rows an explode makes, so it would broadcast all replicates: the join is by sorting.
+    """
+    source = rows.select(F.col("series_id").alias("_s"), F.col("t").alias("_t"), "x").hint("merge")
     return indices.join(source, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("idx") == F.col("_t"))).select("series_id", "b", "t", "idx", "x")

@@ -164,14 +164,15 @@ def bootstrap_frame(series: SeriesFrame, method: MethodSpec, n_bootstraps: int,
     """(series_id, b, t, idx, x) by DataFrame operators alone: index frame, then a join on (series_id, idx). Counter stream."""
     sizes = with_lengths(series, method)
     idx = resample.index_frame(sizes, method, n_bootstraps, seed)
-    got = resample.gathered(series.rows, idx)
     if not isinstance(method, TaperedBlock):
-        return got
+        return resample.gathered(series.rows, idx)
     means = series.rows.select("series_id", F.posexplode("x").alias("dim", "v")).groupBy("series_id", "dim").agg(F.avg("v").alias("m")).groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
     lengths = sizes.select("series_id", "length", resample.taper_scale(method, F.col("length")).alias("scale"))
-    rows = got.join(means, "series_id").join(lengths, "series_id")
+    # what a series needs goes with its observations, of which there are fewer than places in replicates
+    rows = series.rows.join(means, "series_id").join(lengths, "series_id").select("series_id", "t", F.struct("x", "mean", "length", "scale").alias("x"))
+    got = resample.gathered(rows, idx).select("series_id", "b", "t", "idx", "x.*")
     weight = F.coalesce(resample.taper_column(method, F.pmod("t", "length"), F.col("length")) / F.col("scale"), F.lit(1.0))
-    return rows.withColumn("w", weight).select("series_id", "b", "t", "idx", F.zip_with("x", "mean", lambda x, m: m + F.col("w") * (x - m)).alias("x"))
+    return got.withColumn("w", weight).select("series_id", "b", "t", "idx", F.zip_with("x", "mean", lambda x, m: m + F.col("w") * (x - m)).alias("x"))
 
 
 def with_lengths(series: SeriesFrame, method: MethodSpec, clamp: bool = True) -> DataFrame:
