@@ -17,7 +17,7 @@ def under_broadcasts(df):
     return out
 
 
-@pytest.mark.parametrize("name", ["tapered_values"])
+@pytest.mark.parametrize("name", ["block_sum_mean", "tapered_values"])
 def test_replicates_are_not_broadcast(name, spark, sf_dir):
     df = queries.QUERIES[name](spark, sf_dir)
     assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()

@@ -76,8 +76,9 @@ def block_sum_means(rows: DataFrame, starts: DataFrame, method: MethodSpec) -> D
 
     rows (series_id, t, v), starts (series_id, b, k, start, n, length). A block's sum is a difference of two prefix sums, so
     two look-ups a block take the place of one per value; the last block is cut to what is left of n. Prefix sums are kept
-    by pieces of a series: sums within the piece, and what all earlier pieces add up to. Look-ups meet pieces in a plain
-    join on (series, piece), which neither a long series nor a short one makes uneven, and are summed where they meet.
+    by pieces of a series: sums within the piece, and what all earlier pieces add up to. Look-ups meet pieces in a join on
+    (series, piece), which neither a long series nor a short one makes uneven, and are summed where they meet; it is one by
+    sorting, since Spark's estimates know nothing of how many look-ups there are and would broadcast them.
     """
     rows = rows.select("series_id", "t", "v", F.expr(f"t div {PIECE}").cast("int").alias("piece"))
     whole, of = Window.partitionBy("_s"), Window.partitionBy("series_id", "piece")
@@ -98,7 +99,7 @@ def block_sum_means(rows: DataFrame, starts: DataFrame, method: MethodSpec) -> D
     if isinstance(method, CircularBlock):
         looks.append(at(F.when(end > F.col("n"), end - F.col("n")).otherwise(0) - 1, 1.0))
     each = starts.select("series_id", "b", "n", F.explode(F.array(*looks)).alias("e")).where("e.at >= 0").select("series_id", "b", "n", "e.at", "e.sign", F.expr(f"e.at div {PIECE}").cast("int").alias("piece"))
-    met = each.join(pieces, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_p")))
+    met = each.join(pieces.hint("merge"), F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_p")))
     place = F.col("at") - F.col("piece") * PIECE
     upto = F.col("before") + F.get("q", place) + (place + 1) * (F.col("m") - F.col("mean"))
     found = met.select("series_id", "b", "n", "mean", (F.col("sign") * upto).alias("s"))
