@@ -132,6 +132,17 @@ def links(nodes: DataFrame) -> DataFrame:
     return home.join(visit, (F.col("h.anchor") == F.col("v.anchor")) & (F.col("h.node") < F.col("v.node")) & near).select(F.col("h.node").alias("a"), F.col("v.node").alias("b"))
 
 
+def print_links(found: DataFrame) -> DataFrame:
+    """(a, b): links that give found's nodes (node, fp; a node may have several) the components of fingerprints at 2 or fewer bits.
+
+    Nodes of one fingerprint are linked to the least of them, which stands for it in links().
+    """
+    prints = found.select("fp", "node").distinct()
+    least = cut(prints.groupBy("fp").agg(F.min("node").alias("least")))
+    same = prints.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return cut(same.union(links(least.select("fp", F.col("least").alias("node")))))
+
+
 def fingerprint_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links lead to, itself included) for every row of docs.
 
@@ -152,7 +163,8 @@ def fingerprint_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links lead to, itself included) for every row of docs.
 
-    Links are all pairs of a Jaccard similarity of 0.8 or more of their word shingles, found exactly (`shingles`); a text
+    Links are all pairs of fingerprints at 2 or fewer differing bits, by the anchors, and besides all pairs of a Jaccard
+    similarity of 0.8 or more of their word shingles, found exactly (`shingles`), most of which differ in more bits; a text
     with fewer words is one shingle. Null and empty texts are linked with each other. Rows with a null doc_id are
     returned and link others, but give no component its id (a component of such rows alone has a null component_id).
     """
@@ -165,7 +177,8 @@ def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
     found = cut(shingles.prints(rows, shingle, SEED))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
     nodes = cut(found.groupBy("node").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"), F.count("*").alias("copies"), F.min("doc_id").alias("id"), one.alias("of")))
-    parts = cut(connected_components(shingles.links(rows, found, nodes, shingle, SEED)).join(nodes.select("node", "id"), "node"))
+    near = print_links(found).union(shingles.links(rows, found, nodes, shingle, SEED))
+    parts = cut(connected_components(near).join(nodes.select("node", "id"), "node"))
     ids = parts.groupBy("component").agg(F.min("id").alias("component_id"))
     linked = parts.join(bounded(cut(ids)), "component").select("node", F.lit(True).alias("linked"), "component_id")
     named = nodes.join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
