@@ -1,9 +1,12 @@
 """Nulls in any column, empty and long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
 import random
+import tracemalloc
+from unittest.mock import MagicMock
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +265,46 @@ def test_hidden_markov_passes_by_enumeration():
         np.testing.assert_allclose(got, want, rtol=1e-4)
 
 
+@pytest.mark.parametrize("name", ["count", "expected", "near", "far"])
+def test_hidden_markov_splits_few_bytes_at_a_time(spark, monkeypatch, name):
+    texts = [" ".join(f"w{(i + j) % 900:03}" for j in range(1_000)) for i in range(1_200)]  # 6 MB in a batch
+    states = np.full(2, 0.5), np.full((2, 2), 0.5), np.full((1 + hmm.CLASSES, 2), 1 / (1 + hmm.CLASSES))
+    model = hmm.Model(pa.array([], pa.string()), 0, 0, np.arange(1 + hmm.CLASSES, dtype=np.int32), *np.ones((3, 1 + hmm.CLASSES)), None, *states)
+    given, split, rows = [], hmm.tokens, MagicMock()
+    monkeypatch.setattr(hmm, "tokens", lambda column: given.append(sum(map(len, column.to_pylist()))) or split(column))
+    columns = {"count": ["text"], "expected": ["text"], "near": ["doc_id", "key", "held_out", "text"], "far": ["doc_id", "key", "text"]}[name]
+    {"count": hmm.word_counts, "expected": lambda r: hmm.expectation(r, model), "near": lambda r: hmm._near_pass(r, model), "far": lambda r: hmm._far_words(r, model)}[name](rows)
+    run = rows.select.return_value.mapInArrow.call_args.args[0]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts) if c == "text" else pa.array(range(len(texts))) for c in columns], columns)
+    out = pa.Table.from_batches(run(iter([batch])))
+    assert sum(given) == sum(map(len, texts)) and max(given) <= 4 << 20
+    if name == "near":
+        assert out["n_tokens"].to_pylist() == [1_001] * len(texts)
+    if name in ("count", "far"):
+        assert sum(out["c" if name == "count" else "times"].to_pylist()) == 1_000 * len(texts)
+
+
+def test_hidden_markov_counts_hold_few_copies():
+    rng = np.random.default_rng(1)
+    emit = rng.random((50, 8))
+    model = hmm.Model(None, 0, 0, None, None, None, None, None, np.full(8, 1 / 8), np.full((8, 8), 1 / 8), emit / emit.sum(axis=0))
+    texts = [rng.integers(0, 50, 500).astype(np.int32) for _ in range(800)]  # 400,000 symbols, 12.8 MB a state array
+    tracemalloc.start()
+    try:
+        start, _, emission = hmm.expected(texts, model)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    np.testing.assert_allclose([start.sum(), emission.sum()], [800, 400_000], rtol=1e-4)
+    assert most < 48e6
+
+
+def test_hidden_markov_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(["", "ab", "abcdefgh", "a", "bc", "", "abcde"])], ["text"])
+    got = [p.column(0).to_pylist() for p in hmm.pieces(iter([batch, batch.slice(0, 0), batch.slice(4)]), 0, 4)]
+    assert got == [["", "ab"], ["abcdefgh"], ["a", "bc", ""], ["abcde"], ["bc", ""], ["abcde"]]
+
+
 def test_language_evidence(spark):
     en, de = "the quick brown fox jumps over the lazy dog and then some more of it", "der schnelle braune Fuchs springt über den faulen Hund und noch etwas mehr"
     labelled = spark.createDataFrame([(i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(20)], "doc_id long, text string, lang string")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,19 @@ from .common import bounded, cut, table
 from .spans import keyed
 
 STATES, ROUNDS, OWN, CLASSES, NEAR = 8, 3, 32_768, 256, 200_000
-ROWS, FLUSH, LANES, HELD, BACKING, STAY = 4_000, 400_000, 400_000, 2_000_000, 5_000.0, 0.95
+PIECE, FLUSH, LANES, HELD, BACKING, STAY = 4 << 20, 400_000, 400_000, 2_000_000, 5_000.0, 0.95
+STEP = 65_536  # rows of an array, or of a batch that goes out, at a time
+
+
+def pieces(batches: Iterable[pa.RecordBatch], text: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, each of one row or with `most` bytes or fewer in column text."""
+    for batch in batches:
+        ends, lo = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(), dtype=np.int64), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            pa.default_memory_pool().release_unused()  # else a worker keeps the most that any task of its took
+            lo = hi
 
 
 def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -53,19 +65,20 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word, c over the texts of rows (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        met: list[pa.Table] = []  # Arrow's, as Python's own strings and counts take several times the memory
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-            counts.clear()
-            return batch
+        def summed() -> pa.Table:
+            return pa.concat_tables(met).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
-        for batch in batches:
-            met = tokens(batch.column(0))[0].value_counts()
-            counts.update(dict(zip(met.field("values").to_pylist(), met.field("counts").to_pylist(), strict=True)))
-            if len(counts) > FLUSH:
-                yield out()
-        yield out()
+        for piece in pieces(batches, 0):
+            found = tokens(piece.column(0))[0].value_counts()
+            met.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+            if sum(map(len, met)) > 2 * FLUSH:
+                met = [summed()]
+                if len(met[0]) > FLUSH:
+                    yield from met.pop().to_batches(STEP)
+        if met:
+            yield from summed().to_batches(STEP)
 
     return rows.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -160,8 +173,11 @@ def expected(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndar
             beta[: hi - lo] = given[lo:hi] @ moves.T
     # gamma = alpha * beta, and beta of a step that goes on is positive, so alpha comes back by division
     before = np.arange(bounds[1], total) - np.repeat(active[:-1], active[1:])
-    after = given[bounds[1] :] @ moves.T
-    move = model.move * ((alpha[before] / after).T @ given[bounds[1] :])
+    move = np.zeros((k, k))
+    for lo in range(bounds[1], total, STEP):
+        now = given[lo : lo + STEP]
+        move += (alpha[before[lo - bounds[1] :][: len(now)]] / (now @ moves.T)).T @ now
+    move *= model.move
     emission = np.column_stack([np.bincount(seen, alpha[:, j], len(emit)) for j in range(k)])
     return alpha[: bounds[1]].sum(axis=0, dtype=float), move, emission
 
@@ -184,8 +200,8 @@ def _held(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[list[np.n
     """Symbol sequences of the texts of batches, at least HELD symbols at a time, so that many long ones run side by side."""
     texts: list[np.ndarray] = []
     size = 0
-    for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-        flat, sizes, _, _ = model.ids(batch.column(0))
+    for piece in pieces(batches, 0):
+        flat, sizes, _, _ = model.ids(piece.column(0))
         texts += np.split(model.symbol[flat], np.cumsum(sizes)[:-1])
         size += len(flat)
         if size > HELD:
@@ -273,11 +289,15 @@ def _near_pass(rows: DataFrame, model: Model) -> DataFrame:
     """All that a task can tell of rows (doc_id, key, held_out, text): n_tokens, and known, base and score without far words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-            flat, sizes, _, _ = model.ids(batch.column(3))
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            known, base, score = (np.add.reduceat(x[flat], at) for x in (model.known, model.base, model.share))
-            score += likelihoods(np.split(model.symbol[flat], at[1:]), model) / np.log(10)
+        for batch in pieces(batches, 3, 4 * PIECE):  # many run side by side, though words are looked up by the piece
+            found, texts = [], []
+            for piece in pieces([batch], 3):
+                flat, sizes, _, _ = model.ids(piece.column(3))
+                at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                found.append([sizes, *[np.add.reduceat(x[flat], at) for x in (model.known, model.base, model.share)]])
+                texts += np.split(model.symbol[flat], at[1:])
+            sizes, known, base, score = map(np.concatenate, zip(*found, strict=True))
+            score += likelihoods(texts, model) / np.log(10)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "key", "held_out", "n_tokens", "known", "base", "score"])
 
     return rows.select("doc_id", "key", "held_out", "text").mapInArrow(run, "doc_id long, key long, held_out boolean, n_tokens long, known long, base double, score double")
@@ -287,7 +307,7 @@ def _far_words(rows: DataFrame, model: Model) -> DataFrame:
     """d, k, word, times, class of the words of each text of rows that aren't among the NEAR ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+        for batch in pieces(batches, 2):
             _, _, found, text = model.ids(batch.column(2))
             counts = Counter(zip(text.tolist(), found.to_pylist(), strict=True))
             take = pa.array([i for i, _ in counts], pa.int64())
