@@ -129,3 +129,15 @@ def test_tool_server():
     assert got[4]["result"]["isError"] and got[6]["result"]["isError"]
     assert got[5]["error"]["code"] == -32601 and got[None]["error"]["code"] == -32700 and got[7]["result"] == {}
     assert got[8]["result"]["structuredContent"]["ci_lower"] < got[8]["result"]["structuredContent"]["ci_upper"]
+
+
+def test_metadata_query_has_own_methods_only(spark, monkeypatch):
+    from tidemark import queries
+    from tidemark.plans import metadata
+
+    record = tm.MethodMetadata("other", (), True, False, False, False, False, (), "O(n)", ())
+    monkeypatch.setitem(metadata._KNOWN, type("Other", (), {}), record)
+    names = lambda df: [r["name"] for r in df.collect()]
+    assert "other" in names(metadata.metadata_frame(spark))
+    got = names(queries.QUERIES["method_metadata"](spark, ""))
+    assert got == ["iid", "moving_block", "circular_block", "stationary_block", "non_overlapping_block", "tapered_block", "residual", "sieve_ar"]

@@ -38,6 +38,7 @@ _KNOWN: dict[type, MethodMetadata] = {
     ResidualBootstrap: MethodMetadata("residual", ("a well-specified model", "exchangeable residuals"), True, True, False, False, True, ("Freedman 1984", "Bose 1988"), "O(B*n*p)", ("wrong model", "unstable fit")),
     SieveAR: MethodMetadata("sieve_ar", ("linear process",), False, False, False, False, True, ("Buhlmann 1997",), "O(B*n*p)", ("non-linear or long-memory series",)),
 }
+_OWN = dict(_KNOWN)
 
 
 def register_metadata(kind: type, metadata: MethodMetadata) -> None:
@@ -51,8 +52,9 @@ def metadata_for(method: MethodSpec | type) -> MethodMetadata:
     return _KNOWN[kind]
 
 
-def metadata_frame(spark: SparkSession) -> DataFrame:
-    rows = [tuple(list(v) if isinstance(v, tuple) else v for v in asdict(m).values()) for m in _KNOWN.values()]
+def metadata_frame(spark: SparkSession, registered: bool = True) -> DataFrame:
+    """A row for each method; registered: those that callers have registered, too."""
+    rows = [tuple(list(v) if isinstance(v, tuple) else v for v in asdict(m).values()) for m in (_KNOWN if registered else _OWN).values()]
     return spark.createDataFrame(rows, "name string, assumptions array<string>, supports_multivariate boolean, supports_exog boolean, supports_indices boolean, supports_oob boolean, preserves_temporal_dependence boolean, references array<string>, complexity string, failure_modes array<string>")
 
 

@@ -162,7 +162,7 @@ def taper_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ('sieve_ar', 'linear process', false, false, false, false, true, 'Buhlmann 1997', 'O(B*n*p)', 'non-linear or long-memory series'))
 t(name, assumptions, supports_multivariate, supports_exog, supports_indices, supports_oob, preserves_temporal_dependence, references_, complexity, failure_modes)""")
 def method_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = metadata_frame(spark).withColumnRenamed("references", "references_")
+    known = metadata_frame(spark, registered=False).withColumnRenamed("references", "references_")
     return known.withColumns({c: F.array_join(c, "; ") for c in ("assumptions", "references_", "failure_modes")})
 
 
